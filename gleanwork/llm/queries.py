@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gleanwork.llm import encode, skeleton
+from gleanwork.llm import encode, mixing, quota, skeleton, splits
 from gleanwork.plans.registry import Registry, table
 
 query = Registry()
@@ -27,3 +27,52 @@ def p7_text(spark, folder):
 @query("p7_classes")
 def p7_classes(spark, folder):
     return skeleton.lookalike_classes(table(spark, folder, "documents"))
+
+
+@query("p3_found")
+def p3_found(spark, folder):
+    return splits.tied_sources(table(spark, folder, "train"), table(spark, folder, "image_alias"))
+
+
+def _record_splits(spark, folder):
+    return splits.record_splits(table(spark, folder, "train"), table(spark, folder, "image_alias"), table(spark, folder, "split_targets"))
+
+
+@query("p3_splits")
+def p3_splits(spark, folder):
+    return _record_splits(spark, folder)
+
+
+@query("p3_report")
+def p3_report(spark, folder):
+    return splits.split_report(_record_splits(spark, folder), table(spark, folder, "split_targets"))
+
+
+@query("p4_found")
+def p4_found(spark, folder):
+    return quota.quota_plan(table(spark, folder, "train"), table(spark, folder, "quota_targets")).where("short").select("type", "collection")
+
+
+@query("p4_sample")
+def p4_sample(spark, folder):
+    return quota.quota_sample(table(spark, folder, "train"), table(spark, folder, "quota_targets"))
+
+
+@query("p4_report")
+def p4_report(spark, folder):
+    return quota.quota_report(table(spark, folder, "train"), table(spark, folder, "quota_targets"))
+
+
+@query("p6_found")
+def p6_found(spark, folder):
+    return mixing.short_sources(table(spark, folder, "documents"), table(spark, folder, "mix_weights"))
+
+
+@query("p6_mix")
+def p6_mix(spark, folder):
+    return mixing.mix_corpus(table(spark, folder, "documents"), table(spark, folder, "mix_weights"))
+
+
+@query("p6_report")
+def p6_report(spark, folder):
+    return mixing.mix_report(table(spark, folder, "documents"), table(spark, folder, "mix_weights"))

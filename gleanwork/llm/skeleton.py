@@ -14,7 +14,7 @@ import re
 import unicodedata
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -83,11 +83,10 @@ def skeleton_of(texts: pa.Array) -> pa.Array:
 
 def _classes(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc, look, form): hashes of the skeleton and of the text itself; shows-nothing texts left out."""
-    look: Column = skeleton_of(F.col(text_col))
     return (
         df.select(F.col(id_col).alias("doc"), F.col(text_col).alias("t"))
         .where(F.col("t").isNotNull())
-        .select("doc", look.alias("s"), F.unhex(F.md5("t")).alias("form"))
+        .select("doc", skeleton_of(F.col("t")).alias("s"), F.unhex(F.md5("t")).alias("form"))
         .where(F.col("s") != "")
         .select("doc", F.unhex(F.md5("s")).alias("look"), "form")
     )
