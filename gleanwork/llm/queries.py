@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gleanwork.llm import encode, mixing, quota, skeleton, splits
+from gleanwork.llm import encode, mixing, overlap, quota, skeleton, splits
 from gleanwork.plans.registry import Registry, table
 
 query = Registry()
@@ -29,6 +29,14 @@ def p7_classes(spark, folder):
     return skeleton.lookalike_classes(table(spark, folder, "documents"))
 
 
+def _p2(operator):
+    return lambda spark, folder: operator(*(table(spark, folder, t) for t in ("train", "val", "image_alias")))
+
+
+query("p2_found")(_p2(overlap.overlap_pairs))
+query("p2_counts")(_p2(overlap.overlap_counts))
+
+
 @query("p3_found")
 def p3_found(spark, folder):
     return splits.tied_sources(table(spark, folder, "train"), table(spark, folder, "image_alias"))
