@@ -126,7 +126,7 @@ def question_text(t: Column) -> Column:
 
 def lettered_options(t: Column) -> Column:
     """Options of ``A: red; B: blue`` or lines ``A. red``, in order."""
-    return F.transform(F.regexp_extract_all(t, F.lit(r"(?:^|[;\n]|\s)\(?[A-Z][:.)]\s*([^;\n]+)"), F.lit(1)), F.trim)
+    return F.transform(F.regexp_extract_all(t, F.lit(r"(?:^|[;\n]|\s)\(?[A-Z][:.)]\s*([^;\n]+)"), F.lit(1)), lambda x: F.trim(x))
 
 
 def statement_to_question(t: Column) -> Column:
@@ -156,7 +156,7 @@ def cyclic_orders(options: Column) -> Column:
 
 def clean_options(options: Column) -> Column:
     """Trimmed, not empty, each once ignoring case, in order."""
-    kept = F.filter(F.transform(options, F.trim), lambda x: x != "")
+    kept = F.filter(F.transform(options, lambda x: F.trim(x)), lambda x: x != "")
     low = F.transform(kept, F.lower)
     return F.filter(kept, lambda x, i: F.array_position(low, F.lower(x)) == i + 1)
 

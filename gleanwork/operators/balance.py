@@ -146,7 +146,7 @@ def repeat_to(df: DataFrame, views: int, key: str, ident: str) -> DataFrame:
     full, rest = divmod(views, n)
     last = running_total(df, key, F.lit(1), [], "_b", [ident])
     times = F.lit(full) + F.when(F.col("_b") < rest, 1).otherwise(0)
-    out = last.withColumn("_t", times).where("_t > 0").withColumn("pass", F.explode(F.expr("sequence(0, _t - 1)")).cast("int")).drop("_b", "_t")
+    out = last.withColumn("_t", times).where("_t > 0").withColumn("pass", F.explode(F.expr("sequence(0, cast(_t as int) - 1)"))).drop("_b", "_t")
     return out.withColumn(ident, F.when(F.col("pass") > 0, F.concat(F.col(ident).cast("string"), F.lit("#r"), F.col("pass").cast("string"))).otherwise(F.col(ident).cast("string")))
 
 

@@ -98,8 +98,9 @@ def macro(df: DataFrame, by: list[str], inner: str, value: Column) -> DataFrame:
 
 def folded_field(df: DataFrame, field: str, least: int, other: str = "(other)") -> DataFrame:
     """``df`` with ``folded``: the field's value, or ``other`` where it has fewer than ``least`` rows."""
-    n = df.groupBy(field).agg((F.count("*") >= least).alias("_often"))
-    return df.join(n, F.col(field).eqNullSafe(n[field]), "left").drop(n[field]).withColumn("folded", F.when(F.col("_often"), F.coalesce(F.col(field), F.lit("-"))).otherwise(other)).drop("_often")
+    n = df.groupBy(F.col(field).alias("_v")).agg((F.count("*") >= least).alias("_often"))
+    name = F.when(F.col("_often"), F.coalesce(F.col(field), F.lit("-"))).otherwise(other)
+    return df.join(n, F.col(field).eqNullSafe(F.col("_v")), "left").withColumn("folded", name).drop("_v", "_often")
 
 
 def majority(df: DataFrame, field: str, answer: str) -> DataFrame:

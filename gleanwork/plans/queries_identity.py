@@ -56,7 +56,7 @@ def clean_relations(spark, folder):
     return identity.without_contradictions(e, {"above": "below", "below": "above"})
 
 
-@query("interval_join", """with e as (select event_id, user_id, event_type, epoch(ts)::bigint as t from events), i as (select user_id, t as start, lead(t) over (partition by user_id order by t, event_id) as stop, event_id as segment from e where event_type = 'purchase')
+@query("interval_join", """with e as (select event_id, user_id, event_type, floor(epoch(ts))::bigint as t from events), i as (select user_id, t as start, lead(t) over (partition by user_id order by t, event_id) as stop, event_id as segment from e where event_type = 'purchase')
 select e.event_id as event_id, segment from e join i on i.user_id = e.user_id and e.t between start and stop where e.event_type = 'click'""")
 def interval_join(spark, folder):
     from pyspark.sql import Window
@@ -67,7 +67,7 @@ def interval_join(spark, folder):
     return identity.covering(e.where("event_type = 'click'"), i, "user_id", "t", "start", "stop", 86_400).select("event_id", "segment")
 
 
-@query("merged_ranges", """with r as (select user_id, epoch(ts)::bigint as a, epoch(ts)::bigint + 3600 as b from events), m as (select *, max(b) over (partition by user_id order by a, b rows between unbounded preceding and 1 preceding) as p from r),
+@query("merged_ranges", """with r as (select user_id, floor(epoch(ts))::bigint as a, floor(epoch(ts))::bigint + 3600 as b from events), m as (select *, max(b) over (partition by user_id order by a, b rows between unbounded preceding and 1 preceding) as p from r),
 g as (select *, sum(case when p is null or a - p > 7200 then 1 else 0 end) over (partition by user_id order by a, b rows unbounded preceding) as g from m) select user_id, min(a) as a, max(b) as b, count(*) as members from g group by user_id, g""")
 def merged_ranges(spark, folder):
     s = F.unix_seconds(F.col("ts").cast("timestamp"))

@@ -223,6 +223,6 @@ def keep_share(spark, folder):
     return nos(table(spark, folder, "train").where(unit(hash_key("keep", "id")) < 0.25))
 
 
-@query("wording_counts", "select regexp_replace(regexp_replace(trim(regexp_replace(regexp_replace(lower(instructions), '[ \\t\\n\\r\\f\\x0B]+', ' ', 'g'), '[ ?]+$', '')), '\"[^\"]*\"', '_', 'g'), '[0-9]+(\\.[0-9]+)?', '#', 'g') as wording, count(*) as n from train group by all")
+@query("wording_counts", "select regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(instructions), '[ \\t\\n\\r\\f\\x0B]+', ' ', 'g'), '[ ?]+$', ''), '^ +', ''), '\"[^\"]*\"', '_', 'g'), '[0-9]+(\\.[0-9]+)?', '#', 'g') as wording, count(*) as n from train group by all")
 def wording_counts(spark, folder):
     return table(spark, folder, "train").groupBy(X.template(X.norm(F.col("instructions"))).alias("wording")).agg(F.count("*").alias("n"))

@@ -13,7 +13,7 @@ from gleanwork.plans.registry import Registry, table
 query = Registry()
 
 _WS = "[ \\t\\n\\r\\f\\x0B]"
-_NORM = f"trim(regexp_replace(regexp_replace(lower(instructions), '{_WS}+', ' ', 'g'), '[ ?]+$', ''))"
+_NORM = f"regexp_replace(regexp_replace(regexp_replace(lower(instructions), '{_WS}+', ' ', 'g'), '[ ?]+$', ''), '^ +', '')"
 _KIND = f"""case when regexp_matches({_NORM}, '^how many ') then 'count' when regexp_matches({_NORM}, '^what colou?r ') then 'color' when regexp_matches({_NORM}, '^(is|are|does|do|was|were|can|has|have) ') then 'yesno'
   when regexp_matches({_NORM}, '^which ') then 'which' when regexp_matches({_NORM}, '^what ') then 'what' else 'other' end"""
 _ARG = "list_filter(gold, lambda e: e.p = list_max(list_transform(gold, lambda x: x.p)))[1].key"
