@@ -14,7 +14,7 @@ question. The search is a weighted cosine join of the wordings, blocked by pictu
 3. Candidates get their exact dot product. Those above the threshold are tested word by word for
    asking the same question, and expanded to rows.
 
-Defined results: rows without picture, with null instructions or with none left after folding match
+Defined results: rows without number or picture, with null instructions or with none left after folding match
 nothing; every stored line counts; an instruction that is all phrase (``Answer briefly.``) keeps it.
 """
 
@@ -185,7 +185,7 @@ def overlaps(train: DataFrame, held: DataFrame, alias: DataFrame, threshold: flo
     want = ("rec_no", "source", "image_id", "instructions")
     both = train.select(*want, F.lit(True).alias("train")).unionByName(held.select(*want, F.lit(False).alias("train")))
     rows = with_picture(both, alias).select("rec_no", "train", "picture", folded(F.col("instructions")).alias("text"))
-    rows = cut(rows.where("picture is not null and text is not null"))
+    rows = cut(rows.where("rec_no is not null and picture is not null and text is not null"))
     wordings = cut(rows.select("picture", "text").distinct().groupBy("text").agg(F.count("*").alias("n")))
     table = cut(core_table(wordings))
     rows = cut(rows.join(small_side(table, 200_000), "text").select("rec_no", "train", "picture", "core"))

@@ -110,9 +110,10 @@ def lookalike_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Classes of one string are dropped before any pairing. A class is cut into blocks of about
     ``block`` rows by the hash of the id, and pairs are made block against block, so that no task
-    holds a whole class however hot it is; only pairs that belong to the result are emitted.
+    holds a whole class however hot it is; only pairs that belong to the result are emitted. Rows
+    without an id pair with none; a row that is there twice counts once.
     """
-    c = _classes(df, id_col, text_col)
+    c = _classes(df.where(F.col(id_col).isNotNull()), id_col, text_col).distinct()
     size = c.groupBy("look", "form").agg(F.count("*").alias("n")).groupBy("look").agg(F.sum("n").alias("n"), F.count("*").alias("forms"))
     live = c.join(size.where("forms > 1"), "look").withColumn("nb", F.ceil(F.col("n") / block).cast("int")).withColumn("b", F.expr("cast(pmod(xxhash64(doc), nb) as int)"))
     # Cell (x, y) with x <= y holds the pairs of block x with block y; a row goes to the nb cells of its block.
