@@ -197,6 +197,7 @@ def _holders(inner: list[int], kinds: list[str], wanted: str) -> list[int]:
 
 
 _SCHEMA = "kind string, name string, pre int, post int, depth int, question_pre int, qid string, parent_qid string, option_pre int, vote_pre int, n_options int, label string, body string, nums array<double>"
+_NAMES = [x.split()[0] for x in _SCHEMA.split(", ")]
 _ARROW = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.list_(pa.float64())]
 
 
@@ -238,6 +239,8 @@ def node_table(df: DataFrame, key: str = "rec_no", questions: str = "questions",
     and votes, regions and spans out. Columns that
     only stand in for a missing ``questions`` are sent to Python only for such rows.
     """
+    if key in _NAMES:
+        raise ValueError(f"a key named {key} clashes with a column of the node table")
     only = lambda c: F.when(F.col(questions).isNull(), F.col(c))
     picked = df.select(F.col(key).alias("key"), F.col(questions).cast("string"), only(criteria).cast("string"), only(kind).cast("string"), only(instructions).cast("string"))
 
@@ -256,7 +259,7 @@ def node_table(df: DataFrame, key: str = "rec_no", questions: str = "questions",
 
     def _batch(keys: pa.Array, ids: list[int], rows: list[tuple]) -> pa.RecordBatch:
         columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _ARROW, strict=True)]
-        return pa.RecordBatch.from_arrays([keys.take(pa.array(ids, pa.int32())), *columns], ["key", *(x.split()[0] for x in _SCHEMA.split(", "))])
+        return pa.RecordBatch.from_arrays([keys.take(pa.array(ids, pa.int32())), *columns], ["key", *_NAMES])
 
     out = picked.mapInArrow(walk, f"key {picked.schema['key'].dataType.simpleString()}, {_SCHEMA}")
     return out.withColumnRenamed("key", key)
