@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleanwork.plans.lineage import cut, small_side
+from gleanwork.plans.lineage import cut, settle, small_side
 
 # Words of a path or an ending that name no collection.
 _ENDINGS = "jpg|jpeg|png|gif|webp|bmp|tif|tiff"
@@ -49,7 +49,7 @@ def alias_ends(alias: DataFrame) -> DataFrame:
     """(alias, end) with each alias once, followed by pointer doubling; ``end`` is null where it names no picture.
 
     Of an alias with several targets the latest counts, of equal times the greater name. Rounds are
-    the logarithm of the longest chain; what still moves after 40 rounds runs in a circle.
+    the logarithm of the longest chain; what still moves after as many as the table allows runs in a circle.
     """
     ends = (
         alias.select(picture_name("alias_id").alias("alias"), picture_name("image_id").alias("end"), F.col("added_at").alias("at"))
@@ -57,10 +57,10 @@ def alias_ends(alias: DataFrame) -> DataFrame:
         .groupBy("alias")
         .agg(F.max_by("end", F.struct("at", F.coalesce("end", F.lit("")))).alias("end"))
     )
-    ends = cut(ends)
-    for _ in range(40):
+    ends = settle(ends)
+    for _ in range(ends.count().bit_length() + 1):
         onward = ends.select(F.col("alias").alias("end"), F.col("end").alias("onward"), F.lit(True).alias("more"))
-        step = cut(ends.join(onward, "end", "left").select("alias", F.when(F.col("more"), F.col("onward")).otherwise(F.col("end")).alias("end"), "more"))
+        step = settle(ends.join(onward, "end", "left").select("alias", F.when(F.col("more"), F.col("onward")).otherwise(F.col("end")).alias("end"), "more"))
         ends = step.select("alias", "end")
         if step.where("more").isEmpty():
             return ends
