@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,6 +36,21 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def settle(df: DataFrame) -> DataFrame:
+    """As :func:`cut`, as a parquet table of the shared folder, dropped when the program ends.
+
+    For loops that join a frame with itself: a checkpoint keeps its plan's size estimate, which such a
+    loop squares every round; a table has the size of its files.
+    """
+    spark = df.sparkSession
+    at = f"{checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(conf).deleteOnExit(path)
+    return spark.read.schema(df.schema).parquet(at)
+
+
 def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if it is counted to have at most ``rows`` rows, else as it is.
 
