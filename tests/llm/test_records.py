@@ -56,13 +56,15 @@ ASK = {
 def asked(rng):
     """Rows of both sides with which question they ask; every clean wording is frequent enough to be settled."""
     t, v, truth = [], [], {}
+    slips = ("lantren", "laantern", "lanern")
+    clean = [(w, k) for k, (q, more) in enumerate(ASK.items()) for w in [q, *more] if not any(x in w for x in slips)]
     forms = [(w, k) for k, (q, more) in enumerate(ASK.items()) for w in [q, *more]]
     for p in range(120):
         for _ in range(3):
-            w, k = rng.choice(forms) if p < 30 else rng.choice([(q, i) for i, q in enumerate(ASK)])
+            w, k = rng.choice(forms if p < 12 else clean)
             t.append((len(t), f"t{len(t)}", "tern/b1", f"tern:{p}", None, w))
             truth[t[-1][0]] = (p, k)
-        w, k = rng.choice(forms)
+        w, k = rng.choice(forms if p < 12 else clean)
         v.append((10_000 + len(v), f"v{len(v)}", "tern/v1", f"{p:05d}", None, w))
         truth[v[-1][0]] = (p, k)
     return t, v, truth
