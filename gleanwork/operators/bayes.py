@@ -44,10 +44,12 @@ def accuracy(scores: DataFrame, label: str) -> DataFrame:
 def debias(scores: DataFrame, key: str, label: str, bins: int = 20, salt: str = "debias") -> DataFrame:
     """Equally many true and false rows in each of ``bins`` bins of the score, in hash order.
 
-    Bin edges are approximate quantiles of the scores, so that no global order is needed.
+    Bin edges are approximate quantiles of the scores, so that no global order is needed, and 0, so that no
+    bin holds rows of both guesses.
     """
     edges = scores.agg(F.percentile_approx("score", [i / bins for i in range(1, bins)], 10000).alias("e")).first().e or []
-    d = scores.withColumn("bin", F.aggregate(F.array(*map(F.lit, edges)) if edges else F.array().cast("array<double>"), F.lit(0), lambda a, e: a + F.when(F.col("score") > e, 1).otherwise(0)))
+    edges = sorted({*edges, 0.0})
+    d = scores.withColumn("bin", F.aggregate(F.array(*map(F.lit, edges)), F.lit(0), lambda a, e: a + F.when(F.col("score") > e, 1).otherwise(0)))
     c = d.groupBy("bin").agg(F.least(F.count_if(F.col(label)), F.count_if(~F.col(label))).alias("cap"))
     caps = c.select("bin", F.explode(F.array(F.lit(True), F.lit(False))).alias(label), "cap")
     return first_by_cell(d.withColumn("_h", hash_key(salt, key)), ["bin", label], caps, "_h", [key]).drop("_h")

@@ -7,7 +7,7 @@ each node a pre-order and a post-order number from one clock, so that ``a`` hold
 per kind are selections of it, and a node's enclosing question, option or vote is the innermost
 interval of that kind that contains its own.
 
-Defined results: text that is not JSON gives no nodes; a null ``questions`` is the one
+Defined results: text that is not JSON gives no nodes; a null ``questions`` (also JSON's null) is the one
 question ``q`` with the options of ``criteria``; names repeated in one object are all kept; numbers
 keep their spelling; JSON that is itself packed as text is unpacked as often as needed. JSON nested
 deeper than the parser goes (about a thousand levels) counts as broken.
@@ -241,7 +241,8 @@ def node_table(df: DataFrame, key: str = "rec_no", questions: str = "questions",
     """
     if key in _NAMES:
         raise ValueError(f"a key named {key} clashes with a column of the node table")
-    only = lambda c: F.when(F.col(questions).isNull(), F.col(c))
+    none = F.col(questions).isNull() | (F.trim(F.col(questions).cast("string")) == "null")
+    only = lambda c: F.when(none, F.col(c))
     picked = df.select(F.col(key).alias("key"), F.col(questions).cast("string"), only(criteria).cast("string"), only(kind).cast("string"), only(instructions).cast("string"))
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
