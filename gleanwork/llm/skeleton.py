@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gleanwork.plans.lineage import cut
+
 # Characters of other alphabets and blocks drawn like the one on the left.
 _LOOKALIKES = {
     "a": "аɑα", "c": "сϲᴄ", "d": "ԁ", "e": "еҽ", "g": "ɡց", "h": "һհ", "i": "іⅰ", "j": "јϳյ", "l": "ӏ",
@@ -113,7 +115,7 @@ def lookalike_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     holds a whole class however hot it is; only pairs that belong to the result are emitted. Rows
     without an id pair with none; a row that is there twice counts once.
     """
-    c = _classes(df.where(F.col(id_col).isNotNull()), id_col, text_col).distinct()
+    c = cut(_classes(df.where(F.col(id_col).isNotNull()), id_col, text_col).distinct())
     size = c.groupBy("look", "form").agg(F.count("*").alias("n")).groupBy("look").agg(F.sum("n").alias("n"), F.count("*").alias("forms"))
     live = c.join(size.where("forms > 1"), "look").withColumn("nb", F.ceil(F.col("n") / block).cast("int")).withColumn("b", F.expr("cast(pmod(xxhash64(doc), nb) as int)"))
     # Cell (x, y) with x <= y holds the pairs of block x with block y; a row goes to the nb cells of its block.
