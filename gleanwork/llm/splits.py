@@ -98,7 +98,7 @@ def _source_links(ties: DataFrame) -> DataFrame:
 
 def source_components(train: DataFrame, alias: DataFrame, seed_edges: int = SEED_EDGES) -> DataFrame:
     """(v, label) of the clean sources that are tied to another one."""
-    return components(_source_links(_ties(train, alias)), seed_edges)
+    return components(_source_links(cut(_ties(train, alias))), seed_edges)
 
 
 def tied_sources(train: DataFrame, alias: DataFrame, block: int = 1000, seed_edges: int = SEED_EDGES) -> DataFrame:
