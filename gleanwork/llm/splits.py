@@ -19,7 +19,7 @@ from gleanwork.llm.pictures import with_picture
 from gleanwork.plans.lineage import cut, small_side
 
 #: A seed graph of at most so many edges is merged in one task; a larger one goes through the search again.
-SEED_EDGES = 1_000_000
+SEED_EDGES = 200_000
 
 
 def _key(c: str) -> Column:
