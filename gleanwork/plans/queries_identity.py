@@ -24,11 +24,22 @@ def hamming_pairs(spark, folder):
 m0 as (select k0, min(name) as m from i where k0 is not null group by k0), m1 as (select k1, min(name) as m from i where k1 is not null group by k1)
 select c_custkey, coalesce(m0.m, m1.m) as match, case when m0.m is not null then 0 when m1.m is not null then 1 end::int as matched_by from x left join m0 using (k0) left join m1 using (k1)""")
 def first_match(spark, folder):
-    x = table(spark, folder, "customer").where("c_custkey % 7 = 0").select("c_custkey", F.col("c_mktsegment").alias("k0"), F.col("c_nationkey").alias("k1"))
+    return _first_match(spark, folder, table(spark, folder, "customer").where("c_custkey % 7 = 0"))
+
+
+def _first_match(spark, folder, customers):
+    x = customers.select("c_custkey", F.col("c_mktsegment").alias("k0"), F.col("c_nationkey").alias("k1"))
     i = table(spark, folder, "supplier").select(F.col("s_name").alias("name"), F.when(F.col("s_suppkey") % 3 == 0, "BUILDING").alias("k0"), F.col("s_nationkey").alias("k1"))
     return identity.first_match(x, i, ["k0", "k1"], "name").select("c_custkey", "match", "matched_by")
 
 
+@query("first_match_whole", """with x as (select c_custkey, c_mktsegment as k0, c_nationkey as k1 from customer), i as (select s_name as name, case when s_suppkey % 3 = 0 then 'BUILDING' end as k0, s_nationkey as k1 from supplier),
+m0 as (select k0, min(name) as m from i where k0 is not null group by k0), m1 as (select k1, min(name) as m from i where k1 is not null group by k1)
+select c_custkey, coalesce(m0.m, m1.m) as match, case when m0.m is not null then 0 when m1.m is not null then 1 end::int as matched_by from x left join m0 using (k0) left join m1 using (k1)""")
+def first_match_whole(spark, folder):
+    return _first_match(spark, folder, table(spark, folder, "customer"))
+
+
 @query("set_roles", """with s as (select split as set_name, id, nullif(image_id, '') as image_id from val), f as (select id, nullif(image_id, '') as image_id from train), w as (select id, nullif(image_id, '') as image_id from captions),
 x as (select set_name, (id in (select id from f where id <> '') or coalesce(image_id in (select image_id from f where image_id is not null), false)) as a, (id in (select id from w where id <> '') or coalesce(image_id in (select image_id from w where image_id is not null), false)) as b from s)
 select set_name, count(*) as n, count_if(a)::bigint as in_fit, count_if(b)::bigint as in_watched, case when count_if(a) > 0 then 'seen' when count_if(b) > 0 then 'watched' else 'test' end as role from x group by set_name""")

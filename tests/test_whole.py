@@ -1,0 +1,15 @@
+"""Queries that read every row: nothing of their tables is filtered away or folded together."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from gleanwork.plans import queries
+from gleanwork.plans.registry import table
+
+
+def test_first_match_answers_every_customer(spark, data):
+    got = queries.QUERIES["first_match_whole"](spark, data)
+    customers = table(spark, data, "customer").select("c_custkey")
+    assert got.count() == customers.count() and customers.join(got, "c_custkey", "left_anti").isEmpty()
+    assert got.where(F.col("c_custkey") % 7 != 0).where("match is not null").count() > 0
