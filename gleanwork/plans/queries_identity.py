@@ -67,6 +67,14 @@ def clean_relations(spark, folder):
     return identity.without_contradictions(e, {"above": "below", "below": "above"})
 
 
+@query("clean_relations_whole", """with e as (select distinct l_partkey as a, case when l_quantity > 25 then 'above' else 'below' end as relation, l_suppkey as b from lineitem where l_partkey <> l_suppkey)
+select a, relation, b from e where not exists (select 1 from e x where x.a = e.a and x.b = e.b and x.relation <> e.relation) and not exists (select 1 from e x where x.a = e.b and x.b = e.a and x.relation = e.relation)""")
+def clean_relations_whole(spark, folder):
+    e = table(spark, folder, "lineitem").where("l_partkey <> l_suppkey")
+    e = e.select(F.col("l_partkey").alias("a"), F.when(F.col("l_quantity") > 25, "above").otherwise("below").alias("relation"), F.col("l_suppkey").alias("b"))
+    return identity.without_contradictions(e, {"above": "below", "below": "above"})
+
+
 @query("interval_join", """with e as (select event_id, user_id, event_type, floor(epoch(ts))::bigint as t from events), i as (select user_id, t as start, lead(t) over (partition by user_id order by t, event_id) as stop, event_id as segment from e where event_type = 'purchase')
 select e.event_id as event_id, segment from e join i on i.user_id = e.user_id and e.t between start and stop where e.event_type = 'click'""")
 def interval_join(spark, folder):
