@@ -66,9 +66,10 @@ def box_grid(b: Column, width: Column, height: Column, cells: int, smooth: float
     cw, ch = width / F.lit(float(cells)), height / F.lit(float(cells))
     cell = lambda i: box((i % cells) * cw, F.floor(i / cells) * ch, cw, ch)
     raw = F.transform(F.sequence(F.lit(0), F.lit(cells * cells - 1)), lambda i: overlap(cell(i), b))
-    whole = F.aggregate(raw, F.lit(0.0), lambda s, x: s + x)
     n = float(cells * cells)
-    return F.transform(raw, lambda x: F.coalesce(F.try_divide(x, whole), F.lit(1.0 / n)) * (1 - smooth) + F.lit(smooth / n))
+    # Lists of one row, so that the cells and their sum are worked out once and not for every cell.
+    summed = F.transform(F.array(raw), lambda r: F.struct(r.alias("raw"), F.aggregate(r, F.lit(0.0), lambda s, x: s + x).alias("whole")))
+    return F.get(F.transform(summed, lambda s: F.transform(s["raw"], lambda x: F.coalesce(F.try_divide(x, s["whole"]), F.lit(1.0 / n)) * (1 - smooth) + F.lit(smooth / n))), 0)
 
 
 def views(width: Column, height: Column, n: int, share: float) -> Column:

@@ -21,3 +21,9 @@ def test_clean_relations_keeps_the_edges_of_all_orders(spark, data):
     other = {"above": "below", "below": "above"}
     assert got == {(a, r, b) for a, r, b in edges if (a, other[r], b) not in edges and (b, r, a) not in edges}
     assert max(a for a, _, _ in got) >= 40
+
+
+def test_every_box_gets_a_grid(spark, data):
+    keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    got, boxes = queries.QUERIES["box_grids_whole"](spark, data), table(spark, data, "lineitem").select(keys)
+    assert got.where("size(grid) = 16").count() == boxes.count() and boxes.exceptAll(got.select(keys)).isEmpty()
