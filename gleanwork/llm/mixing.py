@@ -23,6 +23,8 @@ from gleanwork.plans.lineage import cut
 
 #: Cells reach the driver as one row each; sources, languages and topics beyond so many cells are refused.
 MAX_CELLS = 100_000
+#: The steps of language and topic leave a cell at least this part of its source's mean use.
+LEAST_USE = 0.01
 LANGUAGE = r"^\s*([A-Za-z]{2,3})(?:[-_].*)?\s*$"
 
 
@@ -57,43 +59,57 @@ def source_plan(tokens: DataFrame, weights: DataFrame) -> DataFrame:
     return tokens.sparkSession.createDataFrame(out, "source string, weight double, max_repeats int, tokens bigint, wanted_tokens double, target_tokens double, short boolean")
 
 
+def _scaled(use: list[float], size: list[float], cap: list[float], wanted: float) -> list[float]:
+    """``use`` times the one factor with which, each cut off at its cap, it holds ``wanted``, or all that caps allow."""
+    out = list(use)
+    by = sorted((i for i in range(len(use)) if size[i] * use[i] > 0), key=lambda i: cap[i] / use[i])
+    rest = [0.0]
+    for i in reversed(by):
+        rest.append(rest[-1] + size[i] * use[i])
+    left = wanted
+    for n, i in enumerate(by):
+        factor = max(0.0, left) / rest[len(by) - n]
+        if use[i] * factor < cap[i]:
+            for m in by[n:]:
+                out[m] = min(cap[m], use[m] * factor)
+            break
+        out[i] = cap[i]
+        left -= size[i] * cap[i]
+    return out
+
+
 def rake(cells: list[tuple[str, str, str, float]], goal: dict[str, float], most: dict[str, float], rounds: int = 200, close: float = 1e-6) -> list[float]:
     """How often each cell (source, language, topic, tokens) is wanted.
 
-    Proportional fitting over the three margins in turn, sources last, so that their totals hold
-    exactly unless a cap is met; a cell never goes beyond its source's cap. The margins of language
-    and topic are the corpus's shares of the size.
+    Proportional fitting over the three margins in turn, sources last, so that each of them holds its
+    goal or all that its cap allows; a cell never goes beyond its source's cap. The margins of language
+    and topic are the corpus's shares of the size. Where sources at their caps hold more of a language or
+    topic than that, its cells in other sources become rare there but never less than ``LEAST_USE`` of
+    their source's mean before the source's own step, so that no document is left without a chance.
     """
-    use = [1.0] * len(cells)
-    whole, size = sum(c[3] for c in cells), sum(goal.values())
+    size, cap = [c[3] for c in cells], [max(0.0, most[c[0]]) for c in cells]
+    use = [min(1.0, m) for m in cap]
+    whole, total = sum(size), sum(goal.values())
     if not whole:
         return use
-    margins: list[tuple[int, dict[str, float]]] = []
-    for k in (1, 2):
-        share: dict[str, float] = {}
-        for c in cells:
-            share[c[k]] = share.get(c[k], 0.0) + c[3] * size / whole
-        margins.append((k, share))
-    margins.append((0, goal))
+    margins: list[tuple[list[list[int]], list[float]]] = []
+    for k in (1, 2, 0):
+        members: dict[str, list[int]] = {}
+        for i, c in enumerate(cells):
+            members.setdefault(c[k], []).append(i)
+        margins.append((list(members.values()), [goal.get(x, 0.0) if k == 0 else sum(size[i] for i in m) * total / whole for x, m in members.items()]))
+    have: dict[str, float] = {}
+    for c in cells:
+        have[c[0]] = have.get(c[0], 0.0) + c[3]
+    least = [min(m, LEAST_USE * goal.get(c[0], 0.0) / have[c[0]]) if c[3] else 0.0 for c, m in zip(cells, cap)]
     for _ in range(rounds):
-        moved = 0.0
-        for k, wanted in margins:
-            for _cap in range(8 if k == 0 else 1):  # what caps cut off is spread over the source's other cells
-                now: dict[str, float] = {}
-                free: dict[str, float] = {}
-                for c, u in zip(cells, use):
-                    now[c[k]] = now.get(c[k], 0.0) + c[3] * u
-                    if u < most[c[0]] * (1 - 1e-12):
-                        free[c[k]] = free.get(c[k], 0.0) + c[3] * u
-                for i, c in enumerate(cells):
-                    over = now[c[k]] - free.get(c[k], 0.0)
-                    if use[i] < most[c[0]] * (1 - 1e-12) and free.get(c[k]):
-                        new = min(most[c[0]], use[i] * max(0.0, wanted.get(c[k], 0.0) - over) / free[c[k]])
-                        moved = max(moved, abs(new - use[i]))
-                        use[i] = new
-                    elif now[c[k]] > wanted.get(c[k], 0.0) > 0:
-                        use[i] *= wanted[c[k]] / now[c[k]]
-        if moved < close:
+        before = list(use)
+        for k, (groups, wanted) in zip((1, 2, 0), margins):
+            for group, want in zip(groups, wanted):
+                new = _scaled([use[i] for i in group], [size[i] for i in group], [cap[i] for i in group], want)
+                for i, u in zip(group, new):
+                    use[i] = u if k == 0 else max(u, least[i])
+        if max(abs(a - b) for a, b in zip(before, use)) < close:
             break
     return use
 
