@@ -114,6 +114,12 @@ def rake(cells: list[tuple[str, str, str, float]], goal: dict[str, float], most:
     return use
 
 
+def raked(tokens: DataFrame, weights: DataFrame) -> tuple[list, list, list[float]]:
+    """The rows of the source plan, the cells, and how often each cell is wanted; ``tokens`` is a materialised token table."""
+    plan, cells = source_plan(tokens, weights).collect(), _cells(tokens)
+    return plan, cells, rake([tuple(c) for c in cells], {r.source: r.target_tokens for r in plan}, {r.source: float(r.max_repeats or 0) for r in plan})
+
+
 def mixture(tokens: DataFrame, weights: DataFrame, salt: str = "mixture") -> DataFrame:
     """(doc_id, source, tokens, repeats): the documents of the mixture and how often each is in it.
 
@@ -122,10 +128,8 @@ def mixture(tokens: DataFrame, weights: DataFrame, salt: str = "mixture") -> Dat
     tokens are reached are taken; a hot source is never gathered in a task.
     """
     spark = tokens.sparkSession
-    plan = source_plan(tokens, weights).collect()
-    goal, most = {r.source: r.target_tokens for r in plan}, {r.source: float(r.max_repeats or 0) for r in plan}
-    cells = _cells(tokens)
-    use = rake([tuple(c) for c in cells], goal, most)
+    plan, cells, use = raked(tokens, weights)
+    goal = {r.source: r.target_tokens for r in plan}
     rates = spark.createDataFrame([(c.source, c.lang, c.topic, u) for c, u in zip(cells, use)], "source string, lang string, topic string, rate double")
     d = tokens.where("tokens > 0").join(F.broadcast(rates), ["source", "lang", "topic"])
     d = d.withColumn("sure", F.floor(F.col("rate") + 1e-9).cast("int")).withColumn("chance", F.greatest(F.col("rate") - F.col("sure"), F.lit(0.0)))
@@ -154,5 +158,10 @@ def mix_report(documents: DataFrame, weights: DataFrame, path: str | None = None
 
 
 def short_sources(documents: DataFrame, weights: DataFrame, path: str | None = None) -> DataFrame:
-    """(source) of those whose tokens times ``max_repeats`` are below their weight of all tokens."""
-    return source_plan(token_table(documents, weights, path), weights).where("short").select("source")
+    """(source) of those whose raked tokens stop at ``max_repeats`` times their tokens, below their weight of all tokens."""
+    plan, cells, use = raked(cut(token_table(documents, weights, path)), weights)
+    reached: dict[str, float] = {}
+    for c, u in zip(cells, use):
+        reached[c.source] = reached.get(c.source, 0.0) + c.t * u
+    at_cap = lambda r: reached.get(r.source, 0.0) >= r.tokens * (r.max_repeats or 0) * (1 - 1e-9)
+    return documents.sparkSession.createDataFrame([(r.source,) for r in plan if r.short and at_cap(r)], "source string")

@@ -30,3 +30,12 @@ def test_its_documents_are_in_the_mixture(spark):
     for r in mixing.mixture(tokens, weights).collect():
         got[r.source] += r.tokens * r.repeats
     assert got["A"] == 2700 and all(abs(got[s] - goal[s]) <= 10 for s in goal)
+
+
+def test_short_sources_come_from_the_raked_cells(spark, tokenizers, monkeypatch):
+    docs = spark.createDataFrame([(1, "a", "some text", "en", None), (2, "b", "some text " * 40, "de", None)], "doc_id bigint, source string, text string, lang string, image_id string")
+    weights = spark.createDataFrame([("a", 0.5, 2), ("b", 0.5, 2)], "source string, weight double, max_repeats int")
+    seen, rake = [], mixing.rake
+    monkeypatch.setattr(mixing, "rake", lambda cells, *a, **k: seen.append(cells) or rake(cells, *a, **k))
+    assert [r.source for r in mixing.short_sources(docs, weights).collect()] == ["a"]
+    assert [{c[0] for c in cells} for cells in seen] == [{"a", "b"}]
