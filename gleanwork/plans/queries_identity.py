@@ -20,6 +20,16 @@ def hamming_pairs(spark, folder):
     return p.where("vec_a < vec_b")
 
 
+_HALF = "list_reduce(list_prepend(0::bigint, list_transform(range(1, 33), lambda i: case when embedding[i + {at}] > 0 then (1::bigint << (i - 1)) else 0 end)), lambda a, b: a | b)"
+
+
+@query("hamming_pairs_whole", f"with e as (select vec_id, {_HALF.format(at=0)} as l, {_HALF.format(at=32)} as h from embeddings), p as (select a.vec_id as vec_a, b.vec_id as vec_b, (bit_count(xor(a.l, b.l)) + bit_count(xor(a.h, b.h)))::int as distance from e a, e b where a.vec_id < b.vec_id) select * from p where distance <= 12")
+def hamming_pairs_whole(spark, folder):
+    e = table(spark, folder, "embeddings").select("vec_id", identity.sign_bits("embedding").alias("h"))
+    p = identity.hamming_pairs(e.withColumnRenamed("vec_id", "vec_a"), e.withColumnRenamed("vec_id", "vec_b"), "vec_a", "vec_b", "h", 12)
+    return p.where("vec_a < vec_b")
+
+
 @query("first_match", """with x as (select c_custkey, c_mktsegment as k0, c_nationkey as k1 from customer where c_custkey % 7 = 0), i as (select s_name as name, case when s_suppkey % 3 = 0 then 'BUILDING' end as k0, s_nationkey as k1 from supplier),
 m0 as (select k0, min(name) as m from i where k0 is not null group by k0), m1 as (select k1, min(name) as m from i where k1 is not null group by k1)
 select c_custkey, coalesce(m0.m, m1.m) as match, case when m0.m is not null then 0 when m1.m is not null then 1 end::int as matched_by from x left join m0 using (k0) left join m1 using (k1)""")

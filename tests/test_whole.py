@@ -27,3 +27,12 @@ def test_every_box_gets_a_grid(spark, data):
     keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
     got, boxes = queries.QUERIES["box_grids_whole"](spark, data), table(spark, data, "lineitem").select(keys)
     assert got.where("size(grid) = 16").count() == boxes.count() and boxes.exceptAll(got.select(keys)).isEmpty()
+
+
+def test_hamming_pairs_compare_all_64_signs(spark, tmp_path):
+    signs = lambda *off: [-1.0 if i in off else 1.0 for i in range(64)]
+    vectors = [(1, signs()), (2, signs(*range(12))), (3, signs(*range(11), 62, 63)), (4, signs(62, 63))]
+    spark.createDataFrame(vectors, "vec_id bigint, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {(r.vec_a, r.vec_b): r.distance for r in queries.QUERIES["hamming_pairs_whole"](spark, str(tmp_path)).collect()}
+    far = lambda a, b: sum(x != y for x, y in zip(a, b))
+    assert got == {(i, j): far(a, b) for i, a in vectors for j, b in vectors if i < j and far(a, b) <= 12} and (1, 3) not in got and got[1, 4] == 2
