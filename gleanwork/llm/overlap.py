@@ -180,6 +180,32 @@ def _same_question(a: pa.Array, b: pa.Array, common: pa.Array) -> pa.Array:
     return pa.array(out, pa.bool_())
 
 
+def slip_candidates(classes: DataFrame, words: DataFrame) -> DataFrame:
+    """(picture, a, b): the cores of both sides on a picture that hold words a slip apart, not both settled.
+
+    A slip of a rare word that could not be led back leaves that word's weight on one side only, and the
+    cosine falls below any useful threshold; what the word test can accept is therefore listed by words
+    too. Slips are found in the word table, by one-letter deletions; ``words`` has (word, n).
+    """
+    cuts = F.expr("transform(sequence(1, length(word)), i -> concat(substring(word, 1, i - 1), substring(word, i + 1, length(word))))")
+    keys = words.where(F.length("word") >= SLIP_LENGTH - 1).select("word", "n", F.explode(F.array_distinct(F.concat(F.array("word"), cuts))).alias("key"))
+    new = keys.where(F.col("n") < SETTLED).select("key", F.col("word").alias("new"))
+
+    @F.arrow_udf(T.BooleanType())
+    def near(a: pa.Array, b: pa.Array) -> pa.Array:
+        return pa.array([one_slip(x, y) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.bool_())
+
+    pairs = new.join(keys, "key").where((F.col("new") != F.col("word")) & (F.greatest(F.length("new"), F.length("word")) >= SLIP_LENGTH)).select("new", "word").distinct()
+    pairs = cut(pairs.where(near("new", "word")))
+    # Only the words of such pairs are listed.
+    used = small_side(pairs.select("new").union(pairs.select("word")).distinct().withColumnRenamed("new", "word"))
+    listed = cut(classes.select("picture", "core", "in_train", "in_held", F.size(F.split("core", " ")).alias("length"), F.explode(F.array_distinct(F.split("core", " "))).alias("word")).join(used, "word", "left_semi"))
+    news = listed.withColumnRenamed("word", "new").join(small_side(pairs), "new").select("picture", "length", "word", F.col("core").alias("x"), F.col("in_train").alias("x_train"), F.col("in_held").alias("x_held"))
+    both = news.join(listed.withColumnRenamed("core", "y"), ["picture", "length", "word"]).where("x <> y")
+    one = both.where("x_train and in_held").select("picture", F.col("x").alias("a"), F.col("y").alias("b"))
+    return cut(one.unionByName(both.where("x_held and in_train").select("picture", F.col("y").alias("a"), F.col("x").alias("b"))).distinct())
+
+
 def overlaps(train: DataFrame, held: DataFrame, alias: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(train_no, held_no, similarity): all cases between the rows of ``train`` and of ``held``."""
     want = ("rec_no", "source", "image_id", "instructions")
@@ -199,14 +225,17 @@ def overlaps(train: DataFrame, held: DataFrame, alias: DataFrame, threshold: flo
     listed = classes.join(shared, "picture", "left_semi").join(heads, "core").select("picture", "core", "in_train", "in_held", F.explode("heads").alias("word"))
     left = listed.where("in_train").select("picture", "word", F.col("core").alias("a"))
     right = listed.where("in_held").select("picture", "word", F.col("core").alias("b"))
-    candidates = cut(left.join(right, ["picture", "word"]).select("picture", "a", "b").distinct())
+    words = cut(cores.select("n", F.explode(F.array_distinct(F.split("core", " "))).alias("word")).groupBy("word").agg(F.sum("n").alias("n")))
+    slips = slip_candidates(classes.join(shared, "picture", "left_semi"), words)
+    candidates = cut(left.join(right, ["picture", "word"]).select("picture", "a", "b").unionByName(slips).distinct())
     # Similarity depends on the two cores only: each pair of them is worked out once.
     pairs = candidates.where("a <> b").select("a", "b").distinct()
     by = lambda c, v: small_side(vectors.select(F.col("core").alias(c), F.col("vector").alias(v)), 100_000)
-    scored = pairs.join(by("a", "va"), "a").join(by("b", "vb"), "b").withColumn("similarity", dot("va", "vb")).where(F.col("similarity") >= threshold)
+    scored = pairs.join(by("a", "va"), "a").join(by("b", "vb"), "b").withColumn("similarity", dot("va", "vb"))
+    scored = scored.join(small_side(cut(slips.select("a", "b").distinct().withColumn("slip", F.lit(True)))), ["a", "b"], "left").where((F.col("similarity") >= threshold) | F.col("slip"))
     apart = F.array_union(F.array_except(F.split("a", " "), F.split("b", " ")), F.array_except(F.split("b", " "), F.split("a", " ")))
     scored = cut(scored.select("a", "b", "similarity", apart.alias("apart")).where("size(apart) between 1 and 4"))
-    settled = cores.select("n", F.explode(F.array_distinct(F.split("core", " "))).alias("word")).groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= SETTLED).select("word")
+    settled = words.where(F.col("n") >= SETTLED).select("word")
     known = scored.select("a", "b", F.explode("apart").alias("word")).join(settled, "word", "left_semi").groupBy("a", "b").agg(F.collect_set("word").alias("known"))
     same = cut(scored.join(known, ["a", "b"], "left").where(_same_question("a", "b", "known")).select("a", "b", "similarity"))
     found = candidates.where("a = b").withColumn("similarity", F.lit(1.0)).unionByName(candidates.where("a <> b").join(small_side(same), ["a", "b"]).select("picture", "a", "b", "similarity"))

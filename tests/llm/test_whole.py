@@ -6,7 +6,8 @@ from collections import Counter
 
 import pytest
 
-from gleanwork.llm import mixing
+from gleanwork.llm import mixing, overlap
+from test_records import aliases, train
 
 
 @pytest.mark.parametrize("english", [0, 30])
@@ -39,3 +40,11 @@ def test_short_sources_come_from_the_raked_cells(spark, tokenizers, monkeypatch)
     monkeypatch.setattr(mixing, "rake", lambda cells, *a, **k: seen.append(cells) or rake(cells, *a, **k))
     assert [r.source for r in mixing.short_sources(docs, weights).collect()] == ["a"]
     assert [{c[0] for c in cells} for cells in seen] == [{"a", "b"}]
+
+
+def test_slip_of_a_rare_word_is_an_overlap(spark):
+    ask = "Is there a {} in the image?"
+    t = [(i, f"t{i}", "tern/b1", f"tern:{i}", None, ask.format("lamp" if i < 200 else "zebra")) for i in range(205)]
+    v = [(9000 + i, f"v{i}", "tern/v1", f"tern:{p}", None, ask.format(w)) for i, (p, w) in enumerate([(0, "table"), (200, "zebraa"), (201, "zbera"), (202, "lamp"), (203, "zzebra"), (3, "zebrra")])]
+    got = overlap.overlap_pairs(train(spark, t), train(spark, v), aliases(spark)).collect()
+    assert sorted(map(tuple, got)) == [(200, 9001), (201, 9002), (203, 9004)]
