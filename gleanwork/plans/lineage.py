@@ -7,11 +7,12 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: A side is broadcast only when counted to hold at most so many (narrow) rows.
-BROADCAST_ROWS = 500_000
+#: A side is broadcast only when measured to hold at most about so many bytes.
+BROADCAST_BYTES = 4 << 20
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -51,10 +52,46 @@ def settle(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
-def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it is counted to have at most ``rows`` rows, else as it is.
+def _width(c: Column, kind: T.DataType) -> Column:
+    """About the bytes that a value takes in a row of a join's hash table."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(c), F.lit(0)) + 8
+    if isinstance(kind, T.ArrayType):
+        inner = kind.elementType
+        if isinstance(inner, (T.StringType, T.BinaryType, T.ArrayType, T.StructType, T.MapType)):
+            return F.aggregate(F.coalesce(c, F.array().cast(kind)), F.lit(16).cast("bigint"), lambda s, x: s + F.coalesce(_width(x, inner), F.lit(0)).cast("bigint"))
+        return F.coalesce(F.size(c), F.lit(0)) * 8 + 16
+    if isinstance(kind, T.MapType):
+        return _width(F.map_keys(c), T.ArrayType(kind.keyType)) + _width(F.map_values(c), T.ArrayType(kind.valueType))
+    if isinstance(kind, T.StructType):
+        return sum((_width(c[f.name], f.dataType) for f in kind), F.lit(8))
+    return F.lit(8)
 
-    Meant for materialised frames (see :func:`cut`): the count runs a job. Beyond the bound the
-    join shuffles, and adaptive execution splits hot keys.
+
+def is_small(df: DataFrame, size: int = BROADCAST_BYTES) -> bool:
+    """Whether ``df`` is measured, row by row, to hold at most about ``size`` bytes.
+
+    Meant for materialised frames (see :func:`cut`): a job runs, which stops at as many rows as could fit.
     """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    most = size // 16
+    rows = df.select(sum((_width(F.col(f"`{f.name}`"), f.dataType) for f in df.schema), F.lit(8)).cast("bigint").alias("w")).limit(most + 1)
+    got = rows.agg(F.count("*").alias("n"), F.sum("w").alias("w")).first()
+    return got.n <= most and (got.w or 0) <= size
+
+
+def small_side(df: DataFrame, size: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint if it is measured to be small, else as it is: beyond the bound the
+    join shuffles, and adaptive execution splits hot keys."""
+    return F.broadcast(df) if is_small(df, size) else df
+
+
+def left_lookup(df: DataFrame, side: DataFrame, on: str) -> DataFrame:
+    """``df`` left joined with ``side`` (one row per non-null ``on``). Where the side is too large to
+    broadcast, rows without ``on`` are spread over the tasks instead of going to one of them."""
+    if is_small(side):
+        return df.join(F.broadcast(side), on, "left")
+    lone = F.struct(F.col(on).alias("k"), F.when(F.col(on).isNull(), F.pmod(F.monotonically_increasing_id(), F.lit(4096))).otherwise(F.lit(-1).cast("bigint")).alias("s"))
+    keyed = side.where(F.col(on).isNotNull()).withColumn("_k", F.struct(F.col(on).alias("k"), F.lit(-1).cast("bigint").alias("s"))).drop(on)
+    spread = df.withColumn("_k", lone)
+    same = (F.coalesce(spread["_k"]["k"].cast("string"), F.lit("")) == F.coalesce(keyed["_k"]["k"].cast("string"), F.lit(""))) & (spread["_k"]["s"] == keyed["_k"]["s"])
+    return spread.join(keyed, same, "left").drop("_k")
