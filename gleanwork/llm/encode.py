@@ -2,8 +2,8 @@
 
 The model is serialised directly: piece i is the token of rank i with its bytes mapped to printable
 characters, its score is ``-i``, normalisation is the identity. Merging by best score is then
-merging by lowest rank. Texts are cut into pre-tokens by the vocabulary's pattern first, and only
-pre-tokens not met before go through the model.
+merging by lowest rank. Texts are cut into pre-tokens by the vocabulary's pattern first, and the
+pre-tokens of a batch that were not met before go through the model together.
 
 Defined results: null and empty texts have the empty list; what looks like a special token is
 ordinary text; a lone surrogate, which a Spark string can't hold, counts as '?'.
@@ -13,10 +13,12 @@ from __future__ import annotations
 
 import base64
 import os
+import re
 import struct
-from collections.abc import Iterable
+from array import array
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
-import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -76,46 +78,60 @@ def sentencepiece_model(tokens: list[bytes]) -> bytes:
     return b"".join([*pieces, unknown, _field(2, trainer), _field(3, normal)])
 
 
+def ascii_pattern(pattern: str) -> str:
+    """``pattern`` for texts of ASCII only, which the faster engine of the standard library can run."""
+    return pattern.replace(r"[^\s\p{L}\p{N}]", r"[^\sA-Za-z0-9]").replace(r"\p{L}", "[A-Za-z]").replace(r"\p{N}", "[0-9]")
+
+
 class Encoder:
-    """Pre-tokens to ids through the model, with a bounded memory of pre-tokens already encoded."""
+    """Pre-tokens to ids through the model, with a memory of encoded pre-tokens bounded by their characters."""
 
-    def __init__(self, model: bytes, pattern: str = PATTERN, remember: int = 200_000):
+    def __init__(self, model: bytes, pattern: str = PATTERN, remember: int = 16_000_000):
         import sentencepiece
 
         self.sp = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.cut = regex.compile(pattern).findall
+        self.cut_ascii = re.compile(ascii_pattern(pattern), re.ASCII).findall if "p{" not in ascii_pattern(pattern) else self.cut
         self.chars = str.maketrans({b: c for b, c in byte_characters().items()})
         self.bytes = str.maketrans({c: chr(b) for b, c in byte_characters().items()})
         self.known: dict[str, list[int]] = {}
-        self.remember = remember
-
-    def _learn(self, new: list[str]) -> None:
-        mapped = [x.encode("utf-8", "replace").decode("latin-1").translate(self.chars) for x in new]
-        self.known.update(zip(new, self.sp.encode(mapped, out_type=int, num_threads=1), strict=True))
+        self.remember, self.held = remember, 0
+
+    def parts(self, texts: Iterable[str | None]) -> list[list[str]]:
+        """The pre-tokens of each text, all of them in ``known``: what is new among them goes through the model in one call."""
+        parts = [(self.cut_ascii if x.isascii() else self.cut)(x) if x else [] for x in texts]
+        if self.held > self.remember:
+            self.known.clear()
+            self.held = 0
+        new = list(set(chain.from_iterable(parts)).difference(self.known))
+        if new:
+            mapped = [x.encode("utf-8", "replace").decode("latin-1").translate(self.chars) for x in new]
+            self.known.update(zip(new, self.sp.encode(mapped, out_type=int, num_threads=1), strict=True))
+            self.held += sum(map(len, mapped)) + 64 * len(mapped)
+        return parts
 
     def encode(self, texts: Iterable[str | None]) -> list[list[int]]:
-        out = []
-        for text in texts:
-            if not text:
-                out.append([])
-                continue
-            parts, known = self.cut(text), self.known
-            if new := [x for x in dict.fromkeys(parts) if x not in known]:
-                if len(known) > self.remember:
-                    known.clear()
-                    new = list(dict.fromkeys(parts))
-                self._learn(new)
-            ids: list[int] = []
-            for x in parts:
-                ids += known[x]
-            out.append(ids)
-        return out
+        parts, ids = self.parts(texts), self.known.__getitem__
+        return [list(chain.from_iterable(map(ids, x))) for x in parts]
 
     def decode(self, ids: Iterable[int]) -> str:
         """The text of ids, by the inverse byte mapping."""
         return "".join(map(self.sp.id_to_piece, map(int, ids))).translate(self.bytes).encode("latin-1").decode("utf-8", "replace")
 
 
+def portions(texts: pa.Array, size: int = 4_000_000) -> Iterator[list[str | None]]:
+    """The texts of a batch, about ``size`` characters at a time; a longer text stands alone."""
+    some, n = [], 0
+    for x in texts:
+        some.append(x.as_py())
+        n += len(some[-1] or "")
+        if n >= size:
+            yield some
+            some, n = [], 0
+    if some:
+        yield some
+
+
 _ENCODERS: dict[tuple[int, str], Encoder] = {}
 
 
@@ -138,10 +154,12 @@ def ids_of(spark: SparkSession, text: str | Column, path: str | None = None, pat
 
     @F.arrow_udf("array<int>")
     def encode(texts: pa.Array) -> pa.Array:
-        lists = _encoder(model, pattern).encode(texts.to_pylist())
-        ends = np.cumsum([0, *map(len, lists)], dtype=np.int32)
-        flat = np.fromiter((i for x in lists for i in x), np.int32, int(ends[-1]))
-        return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
+        e, flat, ends = _encoder(model, pattern), array("i"), [0]
+        for some in portions(texts):
+            for parts in e.parts(some):
+                flat.extend(chain.from_iterable(map(e.known.__getitem__, parts)))
+                ends.append(len(flat))
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.Array.from_buffers(pa.int32(), len(flat), [None, pa.py_buffer(flat)]))
 
     return encode(F.col(text) if isinstance(text, str) else text)
 
@@ -152,7 +170,10 @@ def token_count(spark: SparkSession, text: str | Column, path: str | None = None
 
     @F.arrow_udf("bigint")
     def count(texts: pa.Array) -> pa.Array:
-        return pa.array(list(map(len, _encoder(model, pattern).encode(texts.to_pylist()))), pa.int64())
+        e, out = _encoder(model, pattern), []
+        for some in portions(texts):
+            out += [sum(map(len, map(e.known.__getitem__, parts))) for parts in e.parts(some)]
+        return pa.array(out, pa.int64())
 
     return count(F.col(text) if isinstance(text, str) else text)
 

@@ -34,9 +34,11 @@ def test_round_trip_and_other_library(encoder, tokenizers):
 
 
 def test_memory_is_bounded(tokenizers):
-    e = encode.Encoder(encode.sentencepiece_model(encode.read_ranks()), remember=10)
-    texts = [f"word{i} and {i * 7}" for i in range(200)]
-    assert [e.decode(x) for x in e.encode(texts)] == texts and len(e.known) < 40
+    e = encode.Encoder(encode.sentencepiece_model(encode.read_ranks()), remember=1000)
+    texts = [f"word{i} and {i * 7}" for i in range(200)] + ["z" * 5000]
+    for t in texts:
+        assert e.decode(e.encode([t])[0]) == t and e.held < 1000 + 70 * len(t)
+    assert len(e.known) < 40
 
 
 def test_column(spark, encoder):
