@@ -17,9 +17,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleanwork.llm.encode import token_count
-from gleanwork.llm.pictures import collection_of, picture_name
+from gleanwork.operators.pictures import collection_of, picture_name
 from gleanwork.llm.quota import fractional_quotas, smallest_keys, unit_hash
-from gleanwork.plans.lineage import cut
+from gleanwork.plans.lineage import cut, small_side
 
 #: Cells reach the driver as one row each; sources, languages and topics beyond so many cells are refused.
 MAX_CELLS = 100_000
@@ -34,23 +34,26 @@ def token_table(documents: DataFrame, weights: DataFrame, path: str | None = Non
     ``lang`` is the bare lower-case code or ``und``; the topic is the collection of the document's
     picture or ``none``.
     """
-    w = weights.select("source", "max_repeats").where("source is not null").limit(MAX_CELLS)
-    d = documents.select("doc_id", "source", "text", "lang", "image_id").join(F.broadcast(w), "source")
+    w = cut(weights.select("source", "max_repeats").where("source is not null"))
+    d = documents.select("doc_id", "source", "text", "lang", "image_id").join(small_side(w), "source")
     lang = F.lower(F.regexp_extract(F.coalesce("lang", F.lit("")), LANGUAGE, 1))
     topic = F.coalesce(collection_of(F.regexp_replace(picture_name("image_id"), ":", "/")), F.lit("none"))
     return d.select("doc_id", "source", "max_repeats", F.when(lang == "", "und").otherwise(lang).alias("lang"), topic.alias("topic"), token_count(documents.sparkSession, "text", path).alias("tokens"))
 
 
 def _cells(tokens: DataFrame) -> list:
-    found = tokens.groupBy("source", "lang", "topic").agg(F.sum("tokens").alias("t")).where("t > 0").orderBy("source", "lang", "topic").limit(MAX_CELLS + 1).collect()
+    found = tokens.groupBy("source", "lang", "topic").agg(F.sum("tokens").alias("t")).where("t > 0").limit(MAX_CELLS + 1).collect()
     if len(found) > MAX_CELLS:
         raise ValueError("too many cells of source, language and topic")
-    return found
+    return sorted(found)
 
 
 def source_plan(tokens: DataFrame, weights: DataFrame) -> DataFrame:
     """(source, weight, max_repeats, tokens, wanted_tokens, target_tokens, short) for each weighted source."""
-    rows = weights.select("source", "weight", "max_repeats").where("source is not null").limit(MAX_CELLS).orderBy("source").collect()
+    rows = weights.select("source", "weight", "max_repeats").where("source is not null").limit(MAX_CELLS + 1).collect()
+    if len(rows) > MAX_CELLS:
+        raise ValueError("too many weighted sources")
+    rows.sort(key=lambda r: r.source)
     have = dict(tokens.groupBy("source").agg(F.sum("tokens")).collect())  # at most as many as weighted sources
     total = sum(have.values())
     most = [(have.get(r.source) or 0) * (r.max_repeats or 0) for r in rows]
@@ -131,7 +134,7 @@ def mixture(tokens: DataFrame, weights: DataFrame, salt: str = "mixture") -> Dat
     plan, cells, use = raked(tokens, weights)
     goal = {r.source: r.target_tokens for r in plan}
     rates = spark.createDataFrame([(c.source, c.lang, c.topic, u) for c, u in zip(cells, use)], "source string, lang string, topic string, rate double")
-    d = tokens.where("tokens > 0").join(F.broadcast(rates), ["source", "lang", "topic"])
+    d = tokens.where("tokens > 0").join(small_side(rates), ["source", "lang", "topic"])
     d = d.withColumn("sure", F.floor(F.col("rate") + 1e-9).cast("int")).withColumn("chance", F.greatest(F.col("rate") - F.col("sure"), F.lit(0.0)))
     sure = d.groupBy("source").agg(F.sum(F.col("sure") * F.col("tokens")).alias("sure_tokens"))
     quota = spark.createDataFrame(list(goal.items()), "source string, goal double").join(sure, "source").select("source", F.greatest(F.col("goal") - F.col("sure_tokens"), F.lit(0.0)).alias("quota"))

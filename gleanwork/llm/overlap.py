@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gleanwork.llm.pictures import clean_source, with_picture
+from gleanwork.operators.pictures import clean_source, with_picture
 from gleanwork.llm.skeleton import skeleton
 from gleanwork.plans.lineage import cut, small_side
 

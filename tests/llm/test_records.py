@@ -11,7 +11,8 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from gleanwork.llm import mixing, overlap, pictures, quota, splits
+from gleanwork.llm import mixing, overlap, quota, splits
+from gleanwork.operators import pictures
 
 ALIAS = "alias_id string, image_id string, added_at timestamp"
 TRAIN = "rec_no bigint, id string, source string, image_id string, type string, instructions string, loaded_at timestamp, picture string, label string"
