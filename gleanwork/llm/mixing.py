@@ -13,6 +13,9 @@ weights, so that the size is reached if the documents hold so much.
 
 from __future__ import annotations
 
+import math
+import warnings
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -105,6 +108,7 @@ def rake(cells: list[tuple[str, str, str, float]], goal: dict[str, float], most:
     for c in cells:
         have[c[0]] = have.get(c[0], 0.0) + c[3]
     least = [min(m, LEAST_USE * goal.get(c[0], 0.0) / have[c[0]]) if c[3] else 0.0 for c, m in zip(cells, cap)]
+    moved = 0.0
     for _ in range(rounds):
         before = list(use)
         for k, (groups, wanted) in zip((1, 2, 0), margins):
@@ -112,8 +116,12 @@ def rake(cells: list[tuple[str, str, str, float]], goal: dict[str, float], most:
                 new = _scaled([use[i] for i in group], [size[i] for i in group], [cap[i] for i in group], want)
                 for i, u in zip(group, new):
                     use[i] = u if k == 0 else max(u, least[i])
-        if max(abs(a - b) for a, b in zip(before, use)) < close:
+        moved = max((abs(a - b) for a, b in zip(before, use)), default=0.0)
+        if moved < close:
             break
+    if moved >= close:
+        # Margins that caps make contradict each other have no fixed point; the sources' own step came last and holds.
+        warnings.warn(f"raking still moved by {moved:.2g} uses after {rounds} rounds", stacklevel=2)
     return use
 
 
@@ -130,21 +138,27 @@ def mixture(tokens: DataFrame, weights: DataFrame, salt: str = "mixture") -> Dat
     order sampling: keys are uniform over the chance, and those below the point where the source's
     tokens are reached are taken; a hot source is never gathered in a task.
     """
+    return _drawn(tokens, *raked(tokens, weights), salt).groupBy("doc_id", "source", "tokens").agg(F.sum("repeats").cast("int").alias("repeats"))
+
+
+def _drawn(tokens: DataFrame, plan: list, cells: list, use: list[float], salt: str) -> DataFrame:
+    """(doc_id, source, lang, topic, tokens, repeats) of the sure and the drawn uses."""
     spark = tokens.sparkSession
-    plan, cells, use = raked(tokens, weights)
     goal = {r.source: r.target_tokens for r in plan}
     rates = spark.createDataFrame([(c.source, c.lang, c.topic, u) for c, u in zip(cells, use)], "source string, lang string, topic string, rate double")
     d = tokens.where("tokens > 0").join(small_side(rates), ["source", "lang", "topic"])
     d = d.withColumn("sure", F.floor(F.col("rate") + 1e-9).cast("int")).withColumn("chance", F.greatest(F.col("rate") - F.col("sure"), F.lit(0.0)))
-    sure = d.groupBy("source").agg(F.sum(F.col("sure") * F.col("tokens")).alias("sure_tokens"))
-    quota = spark.createDataFrame(list(goal.items()), "source string, goal double").join(sure, "source").select("source", F.greatest(F.col("goal") - F.col("sure_tokens"), F.lit(0.0)).alias("quota"))
+    sure: dict[str, float] = dict.fromkeys(goal, 0.0)
+    for c, u in zip(cells, use):
+        sure[c.source] += math.floor(u + 1e-9) * c.t
+    quota = spark.createDataFrame([(s, max(0.0, g - sure[s])) for s, g in goal.items()], "source string, quota double")
     u = unit_hash(F.lit(salt), "doc_id")
     # u / (u + chance * (1 - u)) grows with u / chance and stays below 1; of chance 1 the key is u.
     key = u / (u + F.col("chance") * (1 - u) + 1e-300)
-    maybe = d.where("chance > 1e-9 and sure < max_repeats").select("doc_id", "source", "chance", "tokens")
-    more = smallest_keys(maybe, ["source"], F.least(key, F.lit(1 - 1e-12)), quota, F.col("tokens"), ["doc_id"]).select("doc_id", "source", "tokens", F.lit(1).alias("repeats"))
-    base = d.where("sure > 0").select("doc_id", "source", "tokens", F.col("sure").alias("repeats"))
-    return base.unionByName(more).groupBy("doc_id", "source", "tokens").agg(F.sum("repeats").cast("int").alias("repeats"))
+    keep = ["doc_id", "source", "lang", "topic", "tokens"]
+    maybe = d.where("chance > 1e-9 and sure < max_repeats").select(*keep, "chance")
+    more = smallest_keys(maybe, ["source"], F.least(key, F.lit(1 - 1e-12)), quota, F.col("tokens"), ["doc_id"]).select(*keep, F.lit(1).alias("repeats"))
+    return d.where("sure > 0").select(*keep, F.col("sure").alias("repeats")).unionByName(more)
 
 
 def mix_corpus(documents: DataFrame, weights: DataFrame, path: str | None = None) -> DataFrame:
@@ -152,12 +166,33 @@ def mix_corpus(documents: DataFrame, weights: DataFrame, path: str | None = None
 
 
 def mix_report(documents: DataFrame, weights: DataFrame, path: str | None = None) -> DataFrame:
-    """Per weighted source: tokens there, wanted and reached tokens and shares, most and mean repeats."""
+    """(margin, value, weight, max_repeats, tokens, wanted_tokens, target_tokens, raked_tokens, reached_tokens, reached_share, n_docs, most_repeats, short).
+
+    A row per weighted source (``margin`` source), language and topic. ``wanted_tokens`` are the weight of
+    all tokens; ``target_tokens`` what the margin is fitted to; ``raked_tokens`` what fitting ended at, whose distance
+    from the target tells how far the caps of repeats let it come; ``reached_tokens`` what the drawn
+    documents have.
+    """
+    spark = documents.sparkSession
     tokens = cut(token_table(documents, weights, path))
-    mix = mixture(tokens, weights)
-    got = mix.groupBy("source").agg(F.sum(F.col("tokens") * F.col("repeats")).alias("reached_tokens"), F.count("*").alias("n_docs"), F.max("repeats").alias("most_repeats"))
-    out = source_plan(tokens, weights).join(got, "source", "left").fillna(0, ["reached_tokens", "n_docs", "most_repeats"])
-    return out.withColumn("reached_share", F.try_divide(F.col("reached_tokens").cast("double"), F.sum("reached_tokens").over(Window.partitionBy(F.lit(1)))))
+    plan, cells, use = raked(tokens, weights)
+    total, goal = sum(c.t for c in cells), sum(r.target_tokens for r in plan)
+    rows = {("source", r.source): [r.weight, r.max_repeats, r.tokens, r.wanted_tokens, r.target_tokens, 0.0, r.short] for r in plan}
+    for c, u in zip(cells, use):
+        rows["source", c.source][5] += c.t * u
+        for margin, value in (("language", c.lang), ("topic", c.topic)):
+            row = rows.setdefault((margin, value), [None, None, 0, 0.0, 0.0, 0.0, None])
+            row[2] += c.t
+            row[3] += float(c.t)
+            row[4] += c.t / total * goal
+            row[5] += c.t * u
+    planned = spark.createDataFrame([(*k, *v) for k, v in sorted(rows.items())], "margin string, value string, weight double, max_repeats int, tokens bigint, wanted_tokens double, target_tokens double, raked_tokens double, short boolean")
+    sides = F.explode(F.array(*(F.struct(F.lit(m).alias("margin"), F.col(c).alias("value")) for m, c in (("source", "source"), ("language", "lang"), ("topic", "topic")))))
+    used = _drawn(tokens, plan, cells, use, "mixture").groupBy("doc_id", "source", "lang", "topic", "tokens").agg(F.sum("repeats").alias("repeats"))
+    got = used.select(sides.alias("m"), "tokens", "repeats").groupBy("m").agg(F.sum(F.col("tokens") * F.col("repeats")).alias("reached_tokens"), F.count("*").alias("n_docs"), F.max("repeats").alias("most_repeats"))
+    out = planned.join(got.select("m.margin", "m.value", "reached_tokens", "n_docs", "most_repeats"), ["margin", "value"], "left").fillna(0, ["reached_tokens", "n_docs", "most_repeats"])
+    share = F.try_divide(F.col("reached_tokens").cast("double"), F.sum("reached_tokens").over(Window.partitionBy("margin")))  # as many rows as values of the margins
+    return out.withColumn("reached_share", share)
 
 
 def short_sources(documents: DataFrame, weights: DataFrame, path: str | None = None) -> DataFrame:

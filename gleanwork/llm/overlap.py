@@ -21,24 +21,30 @@ nothing; every stored line counts; an instruction that is all phrase (``Answer b
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterable
 
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gleanwork.operators.pictures import clean_source, with_picture
-from gleanwork.llm.skeleton import skeleton
+from gleanwork.llm.skeleton import Skeleton, shared_skeleton, skeleton
 from gleanwork.plans.lineage import cut, small_side
 
 #: Cosine from which two cores are compared word by word.
 THRESHOLD = 0.5
 #: A word is a slip of another one that is at least so many times as frequent; more so for short words.
 SLIP_RATIO, SHORT_RATIO = 20, 100
-#: Words of fewer letters than this are short; of words of fewer than four letters there are no slips.
+#: Words of fewer letters than this are short; of words of fewer than three letters the only slips are swaps.
 SHORT = 5
-SLIP_LENGTH = 4
+SLIP_LENGTH = 3
+#: Parts of an inverted list are paired on their own where it has more cores than this.
+LIST = 2000
+#: A phrase is learnt if so many wordings and this part of all have it, half of them are wordings without it too,
+#: those begin in three ways or more, and one of its words hardly stands anywhere else.
+PHRASE_LEAST, PHRASE_SHARE, PHRASE_WORDS, PHRASE_ATTESTED, PHRASE_OPENINGS, PHRASE_OWN = 20, 0.0005, 8, 0.5, 3, 0.9
 #: A word of fewer (picture, wording) pairs than this can be a slip of a word no more frequent.
 SETTLED = 3
 
@@ -56,23 +62,34 @@ _TAILS = (
     "(?:please )?(?:pick|choose|select|give|take|mark)(?: only)? (?:the best|the right|the correct|one|an|exactly one|a single|the most likely)(?: of the| of these)? ?(?:answers?|options?|choices?)?",
     "be brief", "keep it short", "one word only", "look closely", "look carefully",
 )
-_LEAD = r"^(?:(?:" + "|".join(sorted(_LEADS, key=len, reverse=True)) + r") )+(?=\S)"
-_TAIL = r"(?<=\S)(?: (?:" + "|".join(sorted(_TAILS, key=len, reverse=True)) + r"))+$"
 _WORDS = regex.compile(r"[\p{L}\p{M}\p{N}]+").findall
+#: Deletions of one letter; the words of one key are compared.
+_CUTS = "transform(sequence(1, length(word)), i -> concat(substring(word, 1, i - 1), substring(word, i + 1, length(word))))"
+#: Slips are looked for in words of letters: another number is another thing.
+_SPELLED = r"length(word) > 1 and not word rlike '\\p{N}'"
 
 
-def fold(text: str | None) -> str | None:
+def fold(text: str | None, form: Skeleton = skeleton) -> str | None:
     """The words of a wording in one spelling, parted by single spaces; null if there are none."""
     if text is None:
         return None
     if not text.isascii():
-        text = unicodedata.normalize("NFC", skeleton(text))
+        text = unicodedata.normalize("NFC", form(text))
     return " ".join(_WORDS(text.lower())) or None
 
 
-@F.arrow_udf(T.StringType())
-def folded(texts: pa.Array) -> pa.Array:
-    return pa.array([fold(x) for x in texts.to_pylist()], pa.string())
+def folded(spark: SparkSession, text: Column) -> Column:
+    """:func:`fold` as a column; ASCII stays in the JVM."""
+    get = shared_skeleton(spark)
+
+    @F.arrow_udf(T.StringType())
+    def odd(texts: pa.Array) -> pa.Array:
+        form = get()
+        return pa.array([fold(x, form) for x in texts.to_pylist()], pa.string())
+
+    plain = F.length(text) == F.octet_length(text)
+    jvm = F.nullif(F.btrim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " ")), F.lit(""))
+    return F.when(plain, jvm).otherwise(odd(F.when(~plain, text)))
 
 
 def one_slip(a: str, b: str) -> bool:
@@ -99,9 +116,7 @@ def word_table(wordings: DataFrame) -> DataFrame:
     """
     words = wordings.select(F.explode(F.array_distinct(F.split("text", " "))).alias("word"), "n").groupBy("word").agg(F.sum("n").alias("n"))
     words = cut(words)
-    long = words.where(F.length("word") >= SLIP_LENGTH - 1)
-    cuts = F.expr("transform(sequence(1, length(word)), i -> concat(substring(word, 1, i - 1), substring(word, i + 1, length(word))))")
-    keys = long.select("word", "n", F.explode(F.array_distinct(F.concat(F.array("word"), cuts))).alias("key"))
+    keys = words.where(_SPELLED).select("word", "n", F.explode(F.array_distinct(F.concat(F.array("word"), F.expr(_CUTS)))).alias("key"))
 
     @F.arrow_udf(T.DoubleType())
     def slip(a: pa.Array, b: pa.Array) -> pa.Array:
@@ -109,7 +124,12 @@ def word_table(wordings: DataFrame) -> DataFrame:
         return pa.array([0.0 if not one_slip(x, y) else 0.04 if len(x) == len(y) and sorted(x) != sorted(y) else 1.0 for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.float64())
 
     rare = keys.select("key", F.col("word").alias("rare"), F.col("n").alias("rare_n"))
-    near = rare.join(keys, "key").where((F.col("n") >= F.when(F.least(F.length("word"), F.length("rare") + 1) < SHORT, SHORT_RATIO).otherwise(SLIP_RATIO) * F.col("rare_n")) & (F.length("word") >= SLIP_LENGTH)).select("rare", "word", "n").distinct()
+    letters = lambda c: F.array_sort(F.split(c, ""))
+    swap = (F.length("rare") == F.length("word")) & (letters("rare") == letters("word"))
+    ratio = F.when(F.least(F.length("word"), F.length("rare") + 1) < SHORT, SHORT_RATIO).otherwise(SLIP_RATIO)
+    # Short words in use have too many neighbours: theirs are slips only if hardly met, or by a swap.
+    likely = (F.length("word") > SLIP_LENGTH) | swap | ((F.length("word") == SLIP_LENGTH) & (F.col("rare_n") < SETTLED))
+    near = rare.join(keys, "key").where((F.col("n") >= ratio * F.col("rare_n")) & likely).select("rare", "word", "n").distinct()
     near = near.withColumn("likely", slip("rare", "word") * F.col("n")).where("likely > 0").groupBy("rare").agg(F.max_by("word", F.struct("likely", "word")).alias("means"))
     stands = cut(words.join(near, words.word == near.rare, "left").select("word", "n", F.coalesce("means", "word").alias("means")))
     # Plurals: lamps -> lamp where both are in use, also for what is a slip of lamps.
@@ -121,21 +141,63 @@ def word_table(wordings: DataFrame) -> DataFrame:
     return cut(stands.join(single, "means", "left").select("word", "n", F.coalesce("base", "means").alias("means")))
 
 
-def core_of(words: Column) -> Column:
-    """The question itself out of corrected words."""
-    s = F.regexp_replace(words, rf"\b({_PICTURE_WORDS})s?\b", "picture")
-    s = F.regexp_replace(s, r"\bthis picture\b", "the picture")
-    return F.regexp_replace(F.regexp_replace(s, _TAIL, ""), _LEAD, "")
+def with_picture_word(words: Column) -> Column:
+    """Corrected words with one word for the picture."""
+    return F.regexp_replace(F.regexp_replace(words, rf"\b({_PICTURE_WORDS})s?\b", "picture"), r"\bthis picture\b", "the picture")
+
+
+def core_of(words: Column, leads: Iterable[str], tails: Iterable[str]) -> Column:
+    """The question itself: ``leads`` and ``tails`` (patterns over words) taken off, however many follow each other."""
+    of = lambda ps: "|".join(sorted(ps, key=len, reverse=True))
+    if tails := of(tails):
+        words = F.regexp_replace(words, rf"(?<=\S)(?: (?:{tails}))+$", "")
+    if leads := of(leads):
+        words = F.regexp_replace(words, rf"^(?:(?:{leads}) )+(?=\S)", "")
+    return words
 
 
-def core_table(wordings: DataFrame) -> DataFrame:
-    """(text, core): for each folded wording the question that is left of its corrected words."""
+def learnt_phrases(wordings: DataFrame) -> tuple[list[str], list[str]]:
+    """(leads, tails) that the corpus itself shows to say nothing of the question; ``wordings`` has distinct ``s``.
+
+    A phrase at an end counts if most wordings that have it are wordings without it as well, of several
+    kinds of question, and if a word of it belongs to such phrases: ``on the table`` may stand after many
+    questions, but tables are asked about too. Counted over all wordings; at most 1 / ``PHRASE_SHARE``
+    phrases of each length can pass, and only those reach the driver.
+    """
+    w = wordings.where("s is not null").select("s", F.split("s", " ").alias("ws"))
+    ends = F.expr(f"""explode(flatten(transform(sequence(1, least({PHRASE_WORDS}, size(ws) - 1)), i -> array(
+        struct('lead' as end, slice(ws, 1, i) as phrase, slice(ws, i + 1, size(ws)) as rest), struct('tail' as end, slice(ws, size(ws) - i + 1, i) as phrase, slice(ws, 1, size(ws) - i) as rest)))))""")
+    cuts = w.where("size(ws) > 1").select(ends.alias("e")).select("e.end", F.array_join("e.phrase", " ").alias("phrase"), F.xxhash64(F.array_join("e.rest", " ")).alias("h"), F.get("e.rest", F.lit(0)).alias("opening"))
+    least = max(PHRASE_LEAST, int(PHRASE_SHARE * w.count()))
+    often = cut(cuts.groupBy("end", "phrase").agg(F.count("*").alias("n")).where(F.col("n") >= least))
+    there = w.select(F.xxhash64("s").alias("h")).distinct()
+    alone = cuts.join(small_side(often), ["end", "phrase"]).join(there, "h", "left_semi")
+    kept = alone.groupBy("end", "phrase", "n", "opening").agg(F.count("*").alias("k")).groupBy("end", "phrase", "n").agg(F.sum("k").alias("k"), F.count("*").alias("openings"))
+    found = kept.where((F.col("k") >= F.col("n") * PHRASE_ATTESTED) & (F.col("openings") >= PHRASE_OPENINGS)).select("end", "phrase").collect()
+    sides = [[r.phrase for r in found if r.end == e] for e in ("lead", "tail")]
+    mine = sorted({x for side in sides for p in side for x in p.split(" ")})
+    if not mine:
+        return [], []
+    # Of each word of such phrases: how many wordings have it, and how many still do without the phrases.
+    rest = F.split(core_of(F.col("s"), *sides), " ")
+    own = w.select(F.explode(F.array_intersect("ws", F.array(*map(F.lit, mine)))).alias("word"), rest.alias("rest")).groupBy("word").agg(F.avg(F.array_contains("rest", F.col("word")).cast("double")).alias("elsewhere"))
+    bound = {r.word for r in own.where(F.col("elsewhere") <= 1 - PHRASE_OWN).collect()}  # some of ``mine``
+    leads, tails = ([p for p in side if bound.intersection(p.split(" "))] for side in sides)
+    return leads, tails
+
+
+def core_table(wordings: DataFrame, leads: Iterable[str] = _LEADS, tails: Iterable[str] = _TAILS) -> DataFrame:
+    """(text, core): for each folded wording the question that is left of its corrected words.
+
+    ``leads`` and ``tails`` are patterns to start from; phrases learnt from the wordings join them.
+    """
     table = small_side(word_table(wordings).select("word", "means"))
     at = wordings.select("text", F.posexplode(F.split("text", " ")).alias("i", "word"))
     found = at.join(table, "word", "left").groupBy("text").agg(F.array_sort(F.collect_list(F.struct("i", "means"))).alias("w"))
-    corrected = F.array_join(F.col("w.means"), " ")
-    core = core_of(corrected)
-    return found.select("text", F.when(core != "", core).otherwise(corrected).alias("core"))
+    corrected = cut(found.select("text", with_picture_word(F.array_join(F.col("w.means"), " ")).alias("s")))
+    more = learnt_phrases(corrected.select("s").distinct())
+    core = core_of(F.col("s"), [*leads, *more[0]], [*tails, *more[1]])
+    return corrected.select("text", F.when(core != "", core).otherwise(F.col("s")).alias("core"))
 
 
 def core_vectors(cores: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -169,6 +231,9 @@ def dot(a: str, b: str) -> Column:
     return F.aggregate(F.map_entries(a), F.lit(0.0), lambda s, e: s + e.value * F.coalesce(F.try_element_at(F.col(b), e.key), F.lit(0.0)))
 
 
+_NUMBER = regex.compile(r"\p{N}").search
+
+
 @F.arrow_udf(T.BooleanType())
 def _same_question(a: pa.Array, b: pa.Array, common: pa.Array) -> pa.Array:
     """Word by word: equal, or at most two places a slip apart where not both words are settled ones."""
@@ -176,7 +241,7 @@ def _same_question(a: pa.Array, b: pa.Array, common: pa.Array) -> pa.Array:
     for x, y, settled in zip(a.to_pylist(), b.to_pylist(), common.to_pylist(), strict=True):
         p, q, known = x.split(" "), y.split(" "), set(settled or ())
         differ = [(s, t) for s, t in zip(p, q) if s != t]
-        out.append(len(p) == len(q) and len(differ) <= 2 and all(max(len(s), len(t)) >= SLIP_LENGTH and one_slip(s, t) and not (s in known and t in known) for s, t in differ))
+        out.append(len(p) == len(q) and len(differ) <= 2 and all((max(len(s), len(t)) >= SLIP_LENGTH or sorted(s) == sorted(t)) and not _NUMBER(s + t) and one_slip(s, t) and not (s in known and t in known) for s, t in differ))
     return pa.array(out, pa.bool_())
 
 
@@ -187,15 +252,14 @@ def slip_candidates(classes: DataFrame, words: DataFrame) -> DataFrame:
     cosine falls below any useful threshold; what the word test can accept is therefore listed by words
     too. Slips are found in the word table, by one-letter deletions; ``words`` has (word, n).
     """
-    cuts = F.expr("transform(sequence(1, length(word)), i -> concat(substring(word, 1, i - 1), substring(word, i + 1, length(word))))")
-    keys = words.where(F.length("word") >= SLIP_LENGTH - 1).select("word", "n", F.explode(F.array_distinct(F.concat(F.array("word"), cuts))).alias("key"))
+    keys = words.where(_SPELLED).select("word", "n", F.explode(F.array_distinct(F.concat(F.array("word"), F.expr(_CUTS)))).alias("key"))
     new = keys.where(F.col("n") < SETTLED).select("key", F.col("word").alias("new"))
 
     @F.arrow_udf(T.BooleanType())
     def near(a: pa.Array, b: pa.Array) -> pa.Array:
         return pa.array([one_slip(x, y) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.bool_())
 
-    pairs = new.join(keys, "key").where((F.col("new") != F.col("word")) & (F.greatest(F.length("new"), F.length("word")) >= SLIP_LENGTH)).select("new", "word").distinct()
+    pairs = new.join(keys, "key").where((F.col("new") != F.col("word")) & ((F.greatest(F.length("new"), F.length("word")) >= SLIP_LENGTH) | (F.reverse("new") == F.col("word")))).select("new", "word").distinct()
     pairs = cut(pairs.where(near("new", "word")))
     # Only the words of such pairs are listed.
     used = small_side(pairs.select("new").union(pairs.select("word")).distinct().withColumnRenamed("new", "word"))
@@ -206,18 +270,36 @@ def slip_candidates(classes: DataFrame, words: DataFrame) -> DataFrame:
     return cut(one.unionByName(both.where("x_held and in_train").select("picture", F.col("y").alias("a"), F.col("x").alias("b"))).distinct())
 
 
-def overlaps(train: DataFrame, held: DataFrame, alias: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(train_no, held_no, similarity): all cases between the rows of ``train`` and of ``held``."""
+def _paired_lists(left: DataFrame, right: DataFrame, most: int = LIST) -> DataFrame:
+    """(picture, a, b) of the inverted lists of both sides; a list of more than ``most`` cores is cut into
+    parts by hash on the left and repeated for them on the right, so that a hot list is many tasks."""
+    long = left.groupBy("picture", "word").agg(F.count("*").alias("n")).where(F.col("n") > most).select("picture", "word", F.ceil(F.col("n") / most).cast("int").alias("parts"))
+    long = cut(long)
+    on = ["picture", "word"]
+    if not long.isEmpty():
+        long = small_side(long)
+        left = left.join(long, on, "left").withColumn("part", F.coalesce(F.expr("cast(pmod(xxhash64(a), parts) as int)"), F.lit(0))).drop("parts")
+        right = right.join(long, on, "left").withColumn("part", F.explode(F.expr("sequence(0, coalesce(parts, 1) - 1)"))).drop("parts")
+        on = [*on, "part"]
+    return left.join(right, on).select("picture", "a", "b")
+
+
+def overlaps(train: DataFrame, held: DataFrame, alias: DataFrame, threshold: float = THRESHOLD, leads: Iterable[str] = _LEADS, tails: Iterable[str] = _TAILS) -> DataFrame:
+    """(train_no, held_no, similarity): all cases between the rows of ``train`` and of ``held``.
+
+    Equal cores have similarity 1, the dot product of a unit vector with itself. The threshold costs no case:
+    two other cores that the word test accepts differ in a word that is hardly met, and such pairs are candidates by
+    their words too (:func:`slip_candidates`).
+    """
     want = ("rec_no", "source", "image_id", "instructions")
     both = train.select(*want, F.lit(True).alias("train")).unionByName(held.select(*want, F.lit(False).alias("train")))
-    rows = with_picture(both, alias).select("rec_no", "train", "picture", folded(F.col("instructions")).alias("text"))
+    rows = with_picture(both, alias).select("rec_no", "train", "picture", folded(train.sparkSession, F.col("instructions")).alias("text"))
     rows = cut(rows.where("rec_no is not null and picture is not null and text is not null"))
     wordings = cut(rows.select("picture", "text").distinct().groupBy("text").agg(F.count("*").alias("n")))
-    table = cut(core_table(wordings))
-    rows = cut(rows.join(small_side(table, 200_000), "text").select("rec_no", "train", "picture", "core"))
+    table = cut(core_table(wordings, leads, tails))
+    rows = cut(rows.join(small_side(table), "text").select("rec_no", "train", "picture", "core"))
     # A core on a picture is one class, however many rows ask it; only pictures of both sides go on.
-    classes = rows.groupBy("picture", "core").agg(F.max("train").alias("in_train"), F.max(~F.col("train")).alias("in_held"))
-    classes = cut(classes)
+    classes = cut(rows.groupBy("picture", "core").agg(F.max("train").alias("in_train"), F.max(~F.col("train")).alias("in_held")))
     cores = classes.groupBy("core").agg(F.count("*").alias("n"))
     vectors = cut(core_vectors(cores, threshold))
     shared = classes.groupBy("picture").agg(F.max("in_train").alias("t"), F.max("in_held").alias("h")).where("t and h").select("picture")
@@ -227,12 +309,13 @@ def overlaps(train: DataFrame, held: DataFrame, alias: DataFrame, threshold: flo
     right = listed.where("in_held").select("picture", "word", F.col("core").alias("b"))
     words = cut(cores.select("n", F.explode(F.array_distinct(F.split("core", " "))).alias("word")).groupBy("word").agg(F.sum("n").alias("n")))
     slips = slip_candidates(classes.join(shared, "picture", "left_semi"), words)
-    candidates = cut(left.join(right, ["picture", "word"]).select("picture", "a", "b").unionByName(slips).distinct())
+    candidates = cut(_paired_lists(left, right).unionByName(slips).distinct())
     # Similarity depends on the two cores only: each pair of them is worked out once.
     pairs = candidates.where("a <> b").select("a", "b").distinct()
-    by = lambda c, v: small_side(vectors.select(F.col("core").alias(c), F.col("vector").alias(v)), 100_000)
-    scored = pairs.join(by("a", "va"), "a").join(by("b", "vb"), "b").withColumn("similarity", dot("va", "vb"))
-    scored = scored.join(small_side(cut(slips.select("a", "b").distinct().withColumn("slip", F.lit(True)))), ["a", "b"], "left").where((F.col("similarity") >= threshold) | F.col("slip"))
+    sided = small_side(vectors.select(F.col("core").alias("a"), F.col("vector").alias("va")))
+    by_b = vectors.select(F.col("core").alias("b"), F.col("vector").alias("vb"))
+    scored = pairs.join(sided, "a").join(by_b, "b").withColumn("similarity", dot("va", "vb"))
+    scored = scored.join(small_side(slips.select("a", "b").distinct().withColumn("slip", F.lit(True))), ["a", "b"], "left").where((F.col("similarity") >= threshold) | F.col("slip"))
     apart = F.array_union(F.array_except(F.split("a", " "), F.split("b", " ")), F.array_except(F.split("b", " "), F.split("a", " ")))
     scored = cut(scored.select("a", "b", "similarity", apart.alias("apart")).where("size(apart) between 1 and 4"))
     settled = words.where(F.col("n") >= SETTLED).select("word")
