@@ -9,19 +9,22 @@ interval of that kind that contains its own.
 
 Defined results: text that is not JSON gives no nodes; a null ``questions`` (also JSON's null) is the one
 question ``q`` with the options of ``criteria``; names repeated in one object are all kept; numbers
-keep their spelling; JSON that is itself packed as text is unpacked as often as needed. JSON nested
-deeper than the parser goes (about a thousand levels) counts as broken.
+keep their spelling; JSON that is itself packed as text, as a whole or in any wrapping, is unpacked as
+often as needed; a name of an option is never unpacked. Any depth is read.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gleanwork.plans.lineage import settle
+
 RECORD, QUESTION, OPTION, REGION, VOTE, SPAN = "record", "question", "option", "region", "vote", "span"
 
 
@@ -53,21 +56,78 @@ def parse(text: str | None):
     while isinstance(value, str) and not isinstance(value, _Num):
         try:
             value = _DECODER.decode(value)
-        except (ValueError, RecursionError):
+        except RecursionError:
+            value = _deep(value)
+        except ValueError:
             return BROKEN
     return value
 
 
+def _deep(text: str):
+    """The same value for JSON of any depth: containers are kept on a list of their own, scalars are left to the decoder."""
+    space = re.compile(r"[ \t\n\r]*").match
+    open_: list[tuple[list, bool]] = []
+    at, value, name = space(text, 0).end(), BROKEN, None
+    names: list[str | None] = []
+    try:
+        while True:
+            c = text[at]
+            if c in "[{":
+                held = Obj() if c == "{" else []
+                at = space(text, at + 1).end()
+                if text[at] != ("}" if c == "{" else "]"):
+                    open_.append((held, c == "{"))
+                    names.append(name)
+                    if c == "{":
+                        name, at = _member(text, at, space)
+                    continue
+                value, at = held, at + 1
+            else:
+                value, at = _DECODER.raw_decode(text, at)
+            # A value is whole: it goes into what holds it, which may be whole with it.
+            while True:
+                at = space(text, at).end()
+                if not open_:
+                    return value if at == len(text) else BROKEN
+                held, is_object = open_[-1]
+                held.append((name, value) if is_object else value)
+                c = text[at]
+                if c == ",":
+                    at = space(text, at + 1).end()
+                    if is_object:
+                        name, at = _member(text, at, space)
+                    break
+                if c != ("}" if is_object else "]"):
+                    return BROKEN
+                open_.pop()
+                value, name, at = held, names.pop(), at + 1
+    except (ValueError, IndexError):
+        return BROKEN
+
+
+def _member(text: str, at: int, space) -> tuple[str, int]:
+    """The name that stands at ``at`` and where its value begins."""
+    if text[at] != '"':
+        raise ValueError("a name is missing")
+    name, at = _DECODER.raw_decode(text, at)
+    at = space(text, at).end()
+    if text[at] != ":":
+        raise ValueError("a colon is missing")
+    return name, space(text, at + 1).end()
+
+
 def _text(value) -> str | None:
     """A scalar as written; objects and lists give their first text."""
-    if value is None:
-        return None
-    if isinstance(value, bool):
-        return "true" if value else "false"
-    if isinstance(value, str):
-        return str(value).encode("utf-8", "replace").decode()
-    inner = (v for _, v in value) if isinstance(value, Obj) else iter(value)
-    return next((t for t in map(_text, inner) if t is not None), None)
+    left = [value]
+    while left:
+        value = left.pop()
+        if isinstance(value, bool):
+            return "true" if value else "false"
+        if isinstance(value, str):
+            return str(value).encode("utf-8", "replace").decode()
+        if isinstance(value, list):
+            left.extend(reversed([v for _, v in value] if isinstance(value, Obj) else value))
+    return None
 
 
 def _number(value) -> float | None:
@@ -77,43 +137,93 @@ def _number(value) -> float | None:
         return None
 
 
+#: What only a question has; an object with none of it is a wrapping, or a question of which nothing is known.
+_FIELDS = frozenset(("type", "instructions", "criteria", "votes", "followups"))
+
+
 def _is_question(value) -> bool:
-    return isinstance(value, Obj) and any(k in ("type", "instructions", "criteria") for k, _ in value)
+    return isinstance(value, Obj) and any(k in _FIELDS for k, _ in value)
+
+
+def _unpacked(value):
+    """Packed text as what it holds, if that is an object or a list."""
+    if isinstance(value, str) and not isinstance(value, _Num) and value.lstrip()[:1] in ("{", "[", '"'):
+        inner = parse(value)
+        return inner if isinstance(inner, list) else value
+    return value
+
+
+def _holds_question(value) -> bool:
+    left = [value]
+    while left:
+        value = _unpacked(left.pop())
+        if _is_question(value):
+            return True
+        if isinstance(value, list):
+            left.extend(v for _, v in value) if isinstance(value, Obj) else left.extend(value)
+    return False
 
 
 def _questions(value, under: str = "q") -> list[tuple[str, Obj]]:
-    """(qid, question) of any wrapping: list, object by qid, envelope with ``items``, one bare question."""
-    if isinstance(value, str):
-        value = parse(value)
-    if isinstance(value, Obj):
-        if _is_question(value) and not any(_is_question(v) for k, v in value if k in ("type", "instructions")):
-            return [(_text(value.get("qid", under)), value)]
-        for wrapper in ("items", "questions"):
-            inner = value.get(wrapper)
-            if inner is not None and not _is_question(inner):
-                return _questions(inner)
-        return [(k, v) for k, v in value if isinstance(v, Obj)]
-    if isinstance(value, list):
-        return [(_text(v.get("qid", under)), v) for v in value if isinstance(v, Obj)]
-    return []
+    """(qid, question) of any wrapping, in order: lists, objects by qid, envelopes of any name and depth,
+    one bare question, and each of them packed as text."""
+    out: list[tuple[str, Obj]] = []
+    left: list[tuple[str | None, object, bool]] = [(None, value, True)]
+    while left:
+        name, value, holds = left.pop()
+        value = _unpacked(value)
+        if isinstance(value, Obj):
+            if _is_question(value) and not any(_is_question(v) for k, v in value if k in ("type", "instructions")):
+                out.append((_text(value.get("qid", under)) if name is None else name, value))
+                continue
+            if not holds and not _holds_question(value):
+                out.append((name, value))
+                continue
+            named = next((v for w in ("items", "questions") if (v := value.get(w)) is not None and not _is_question(_unpacked(v))), None)
+            if named is not None:
+                left.append((None, named, True))
+                continue
+            inner = [(k, x) for k, v in value if isinstance(x := _unpacked(v), list)]
+            if not any(_is_question(x) for _, x in inner):
+                # No question by its name here: an envelope, unless nothing below is one either.
+                if len(inner) > 1 or not isinstance(inner[0][1] if inner else None, Obj):
+                    inner = [(k, x) for k, x in inner if _holds_question(x)] or [(k, x) for k, x in inner if isinstance(x, Obj)]
+                left.extend((k, x, len(inner) == 1 and bool(x)) for k, x in reversed(inner))
+            else:
+                left.extend((k, x, False) for k, x in reversed(inner) if isinstance(x, Obj) or _holds_question(x))
+        elif isinstance(value, list):
+            for v in reversed(value):
+                v = _unpacked(v)
+                if isinstance(v, Obj):
+                    left.append((_text(v.get("qid", under)), v, False) if not _is_question(v) else (None, v, False))
+                elif isinstance(v, list):
+                    left.append((None, v, True))
+    return out
 
 
 def _options(value) -> list[tuple[str, object]]:
-    """(name, what is said of it) of criteria as an object by name or as a list of names or objects."""
+    """(name, what is said of it) of criteria as an object by name or as a list of names, objects, pairs of both, or lists of such."""
     if isinstance(value, str) and not isinstance(value, _Num):
         value = parse(value)
     if isinstance(value, Obj):
         return list(value)
     out: list[tuple[str, object]] = []
-    for v in value if isinstance(value, list) else ():
+    left = list(reversed(value)) if isinstance(value, list) else []
+    while left:
+        v = left.pop()
         if isinstance(v, Obj):
             out.append((_text(v.get("key")) or "", v))
-        elif not isinstance(v, list):
+        elif isinstance(v, list) and len(v) == 2 and isinstance(v[1], Obj) and not isinstance(v[0], list):
+            out.append(("null" if v[0] is None else _text(v[0]), v[1]))
+        elif isinstance(v, list):
+            left.extend(reversed(v))
+        else:
             out.append(("null" if v is None else _text(v), None))
     return out
 
 
 def _listed(value) -> list:
+    value = _unpacked(value)
     return value if isinstance(value, list) else []
 
 
@@ -161,6 +271,7 @@ def label(roots: Iterable[tuple[str, object]], leaves: bool = True) -> list[list
     while stack:
         node, rest = stack[-1]
         for kind, name, body in rest:
+            body = _unpacked(body)
             child = [kind, name, body, clock, 0, len(stack)]
             nodes.append(child)
             clock += 1
@@ -268,12 +379,33 @@ def node_table(df: DataFrame, key: str = "rec_no", questions: str = "questions",
 
 def inside(nodes: DataFrame, outer: str, inner: str, key: str = "rec_no") -> DataFrame:
     """The containment join over interval labels: (key, outer_pre, inner_pre) with the innermost
-    ``outer`` node of each ``inner`` node, for node tables that were written and read again."""
-    o = nodes.where(F.col("kind") == outer).select(key, F.col("pre").alias("outer_pre"), F.col("post").alias("outer_post"))
-    i = nodes.where(F.col("kind") == inner).select(key, F.col("pre").alias("inner_pre"), F.col("post").alias("inner_post"))
-    held = i.join(o, [key]).where("outer_pre < inner_pre and inner_post < outer_post")
-    last = F.row_number().over(Window.partitionBy(key, "inner_pre").orderBy(F.desc("outer_pre")))
-    return held.withColumn("n", last).where("n = 1").select(key, "outer_pre", "inner_pre")
+    ``outer`` node of each ``inner`` node, for node tables that were written and read again.
+
+    Sort and sweep: the nodes of a record are sorted by ``pre`` and read once, with the ``outer`` intervals
+    that are still open on a stack, so the work is linear in the nodes. Nodes without key are left out; a key stands for one record.
+    """
+    kind = nodes.schema[key].dataType.simpleString()
+    both = nodes.where(F.col(key).isNotNull() & F.col("kind").isin(outer, inner)).select(F.col(key).alias("key"), "pre", "post", (F.col("kind") == outer).alias("o"), (F.col("kind") == inner).alias("i"))
+
+    def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, open_ = None, []
+        for batch in batches:
+            at, held = [], []
+            for n, (k, pre, post, is_outer, is_inner) in enumerate(zip(*(c.to_pylist() for c in batch.columns), strict=True)):
+                if k != now:
+                    now, open_ = k, []
+                while open_ and open_[-1][1] < pre:
+                    open_.pop()
+                if is_inner and open_:
+                    at.append(n)
+                    held.append(open_[-1][0])
+                if is_outer:
+                    open_.append((pre, post))
+            some = pa.array(at, pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(some), pa.array(held, pa.int32()), batch.column(1).take(some)], ["key", "outer_pre", "inner_pre"])
+
+    swept = both.repartition("key").sortWithinPartitions("key", "pre").mapInArrow(sweep, f"key {kind}, outer_pre int, inner_pre int")
+    return swept.withColumnRenamed("key", key)
 
 
 def question_options(df: DataFrame, key: str = "rec_no", **columns: str) -> DataFrame:
@@ -283,20 +415,24 @@ def question_options(df: DataFrame, key: str = "rec_no", **columns: str) -> Data
     return n.select(key, "parent_qid", "qid", F.when(F.col("kind") == OPTION, F.col("name")).otherwise("").alias("opt"))
 
 
-def flat_tables(df: DataFrame, key: str = "rec_no", **columns: str) -> dict[str, DataFrame]:
+def flat_tables(df: DataFrame, key: str = "rec_no", only: str | None = None, **columns: str) -> dict[str, DataFrame]:
     """The related tables; each row carries its own interval and the ``pre`` of its parents.
 
     ``records`` has every row of ``df`` with how many nodes of each kind its tree holds (0 for broken text).
+    The node table is written once to the shared folder and all tables are selections of it; with
+    ``only`` that one table is made, straight from the walk.
     """
     n = node_table(df, key, **columns)
+    if only is None:
+        n = settle(n)
     of = lambda k: n.where(F.col("kind") == k)
     counts = [F.count_if(F.col("kind") == k).alias(f"n_{k}s") for k in (QUESTION, OPTION, VOTE, REGION, SPAN)]
-    held = n.groupBy(key).agg(*counts, F.max("depth").alias("depth"))
-    return {
-        "records": df.select(key).join(held, key, "left").fillna(0),
-        "questions": of(QUESTION).select(key, "pre", "post", "depth", F.col("question_pre").alias("parent_pre"), "option_pre", "parent_qid", "qid", F.col("label").alias("type"), F.col("body").alias("instructions"), F.get("nums", F.lit(0)).alias("weight"), "n_options"),
-        "options": of(OPTION).select(key, "pre", "post", "question_pre", "qid", F.col("name").alias("opt"), F.col("body").alias("description")),
-        "regions": of(REGION).select(key, "pre", "option_pre", "qid", F.get("nums", F.lit(0)).alias("x"), F.get("nums", F.lit(1)).alias("y"), F.get("nums", F.lit(2)).alias("w"), F.get("nums", F.lit(3)).alias("h"), F.col("body").alias("note")),
-        "votes": of(VOTE).select(key, "pre", "question_pre", "qid", F.col("name").alias("annotator"), F.col("label").alias("value")),
-        "spans": of(SPAN).select(key, "pre", "vote_pre", "qid", F.get("nums", F.lit(0)).alias("from_char"), F.get("nums", F.lit(1)).alias("to_char")),
+    tables = {
+        "records": lambda: df.select(key).join(n.groupBy(key).agg(*counts, F.max("depth").alias("depth")), key, "left").fillna(0),
+        "questions": lambda: of(QUESTION).select(key, "pre", "post", "depth", F.col("question_pre").alias("parent_pre"), "option_pre", "parent_qid", "qid", F.col("label").alias("type"), F.col("body").alias("instructions"), F.get("nums", F.lit(0)).alias("weight"), "n_options"),
+        "options": lambda: of(OPTION).select(key, "pre", "post", "question_pre", "qid", F.col("name").alias("opt"), F.col("body").alias("description")),
+        "regions": lambda: of(REGION).select(key, "pre", "option_pre", "qid", F.get("nums", F.lit(0)).alias("x"), F.get("nums", F.lit(1)).alias("y"), F.get("nums", F.lit(2)).alias("w"), F.get("nums", F.lit(3)).alias("h"), F.col("body").alias("note")),
+        "votes": lambda: of(VOTE).select(key, "pre", "question_pre", "qid", F.col("name").alias("annotator"), F.col("label").alias("value")),
+        "spans": lambda: of(SPAN).select(key, "pre", "vote_pre", "qid", F.get("nums", F.lit(0)).alias("from_char"), F.get("nums", F.lit(1)).alias("to_char")),
     }
+    return {k: make() for k, make in tables.items() if only in (None, k)}

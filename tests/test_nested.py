@@ -123,3 +123,68 @@ def test_empty_deep_long_and_extra(spark):
     df = spark.createDataFrame([(1, '{"q": %s}' % deep, None, None, None, "k"), (2, wide, None, None, None, "k"), (3, too_deep, None, None, None, "k"), (None, '{"q": {"type": "noul"}}', None, None, None, "k")], SCHEMA + ", kind string")
     got = dict(nested.question_options(df).groupBy("rec_no").count().collect())
     assert got == {1: 201, 2: 60_000, None: 1}
+
+
+def rewrapped(rng, value, depth=0):
+    """The same questions, packed as text, put into envelopes or listed, at any level."""
+    if isinstance(value, dict) and depth == 0 and all(isinstance(v, dict) for v in value.values()) and rng.random() < 0.3:
+        value = [{**v, "qid": k} for k, v in value.items()]
+    for _ in range(rng.choice([0, 0, 1, 2])):
+        value = rng.choice([lambda v: json.dumps(v), lambda v: {rng.choice(["data", "body", "items", "payload"]): v, "version": 4}, lambda v: [v] if not isinstance(v, str) else v])(value)
+    return value
+
+
+def deep_rewrapped(rng, q):
+    q = dict(q)
+    for name in ("followups", "then"):
+        if isinstance(q.get(name), (dict, list)):
+            inner = q[name] if isinstance(q[name], list) else {k: deep_rewrapped(rng, v) for k, v in q[name].items()}
+            q[name] = rewrapped(rng, inner)
+    if isinstance(q.get("criteria"), dict):
+        q["criteria"] = {k: deep_rewrapped(rng, v) if isinstance(v, dict) else v for k, v in q["criteria"].items()}
+        if rng.random() < 0.3:
+            q["criteria"] = json.dumps(q["criteria"])
+    elif isinstance(q.get("criteria"), list) and q["criteria"] and rng.random() < 0.5:
+        q["criteria"] = [q["criteria"][:1], q["criteria"][1:]]
+    return json.dumps(q) if rng.random() < 0.2 and "qid" not in q else q
+
+
+def test_wrapping_and_packing_make_no_difference(spark):
+    rng = random.Random(17)
+    table, want = [], Counter()
+    for i in range(400):
+        qs = {f"q{k}": random_question(rng, 3) for k in range(rng.randint(1, 3))}
+        want.update(plain(i, qs, None))
+        table.append((i, json.dumps(rewrapped(rng, {k: deep_rewrapped(rng, v) for k, v in qs.items()})), None, None, None))
+    got = Counter(map(tuple, nested.question_options(spark.createDataFrame(table, SCHEMA)).collect()))
+    assert got == want
+
+
+def test_any_depth(spark):
+    n = 20_000
+    chain = '{"type": "noul", "followups": {"f": ' * n + '{"type": "noul", "criteria": ["end"]}' + "}}" * n
+    envelope = '{"data": ' * n + '{"q1": {"type": "noul"}}' + "}" * n
+    lists = "[" * n + '{"qid": "q2", "type": "noul"}' + "]" * n
+    odd = '{"q": {"type": "noul", "criteria": [1.50, "\\u00e9", true, null, {"key": "k"}], "votes": ' + "[" * n + "]" * n + "}}"
+    df = spark.createDataFrame([(1, '{"q": %s}' % chain, None, None, None), (2, envelope, None, None, None), (3, lists, None, None, None), (4, lists + "]", None, None, None), (5, odd, None, None, None)], SCHEMA)
+    got = nested.question_options(df).collect()
+    assert Counter(r.rec_no for r in got) == {1: n + 1, 2: 1, 3: 1, 5: 5}
+    assert {tuple(r) for r in got if r.rec_no > 1} == {(2, "", "q1", ""), (3, "", "q2", ""), *((5, "", "q", o) for o in ("1.50", "é", "true", "null", "k"))}
+
+
+def test_deep_parser_agrees():
+    rng = random.Random(2)
+
+    def value(depth):
+        kind = rng.randint(0, 7 if depth else 4)
+        return [None, True, rng.randint(-9, 9), 1.25, "a\"\n é"][kind] if kind < 5 else [value(depth - 1) for _ in range(rng.randint(0, 3))] if kind < 6 else {f"k{i % 2}": value(depth - 1) for i in range(rng.randint(0, 3))}
+
+    for _ in range(500):
+        text = json.dumps(value(4), indent=rng.choice([None, 1]))
+        assert nested._deep(text) == nested._DECODER.decode(text)
+        cut = text[: rng.randint(0, len(text))] + rng.choice(["", "}", "]", ",", "x"])
+        try:
+            want = nested._DECODER.decode(cut)
+        except ValueError:
+            want = nested.BROKEN
+        assert nested._deep(cut) == want or nested._deep(cut) is want
