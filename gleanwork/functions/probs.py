@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def let(value: Column, f) -> Column:
+    """``f(value)`` with ``value`` worked out once, also where ``f`` uses it inside a lambda for every element."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def p_of(dist: Column, key: Column, default: float = 0.0) -> Column:
     """The probability of ``key``; of repeated keys the last one."""
     return F.coalesce(F.try_element_at(F.filter(dist, lambda e: e["key"] == key), F.lit(-1))["p"], F.lit(default))
@@ -23,8 +28,8 @@ def total(dist: Column) -> Column:
 
 def normalised(dist: Column) -> Column:
     """Probabilities over their sum; null where the sum is not above zero."""
-    t = total(dist)
-    return F.when(t > 0, F.transform(dist, lambda e: F.struct(e["key"].alias("key"), (e["p"] / t).alias("p"))))
+    both = let(F.struct(dist.alias("d"), total(dist).alias("t")), lambda x: F.when(x["t"] > 0, F.transform(x["d"], lambda e: F.struct(e["key"].alias("key"), (e["p"] / x["t"]).alias("p")))))
+    return both
 
 
 def nll(gold: Column, probs: Column, floor: float = 1e-12) -> Column:
@@ -37,13 +42,43 @@ def brier(gold: Column, probs: Column) -> Column:
     return F.aggregate(gold, F.lit(0.0), lambda s, g: s + F.pow(p_of(probs, g["key"]) - g["p"], F.lit(2.0)))
 
 
+def log_terms(probs: Column, floor: float = 1e-12) -> Column:
+    """log p of each entry, floored, less the greatest of them: all that a change of temperature needs."""
+    return let(F.transform(probs, lambda e: F.log(F.greatest(e["p"], F.lit(floor)))), lambda z: let(F.struct(z.alias("z"), F.array_max(z).alias("m")), lambda x: F.transform(x["z"], lambda v: v - x["m"])))
+
+
+def logits(probs: Column, temperature: Column | float = 1.0, floor: float = 1e-12) -> Column:
+    """T log p per option as a map: the logits that gave these probabilities at temperature ``T``, up to a constant."""
+    return F.transform(probs, lambda e: F.struct(e["key"].alias("key"), (F.log(F.greatest(e["p"], F.lit(floor))) * temperature).alias("z")))
+
+
 def rescaled(probs: Column, temperature: Column | float, floor: float = 1e-12) -> Column:
     """softmax(log p / T), shifted by the greatest logit."""
     t = F.lit(temperature) if isinstance(temperature, (int, float)) else temperature
-    z = F.transform(probs, lambda e: F.log(F.greatest(e["p"], F.lit(floor))) / t)
-    e = F.transform(z, lambda x: F.exp(x - F.array_max(z)))
-    s = F.aggregate(e, F.lit(0.0), lambda a, x: a + x)
-    return F.zip_with(probs, e, lambda d, x: F.struct(d["key"].alias("key"), (x / s).alias("p")))
+    e = F.transform(log_terms(probs, floor), lambda d: F.exp(d / t))
+    share = let(F.struct(e.alias("e"), F.aggregate(e, F.lit(0.0), lambda a, x: a + x).alias("s")), lambda x: F.transform(x["e"], lambda v: v / x["s"]))
+    return F.zip_with(probs, share, lambda d, x: F.struct(d["key"].alias("key"), x.alias("p")))
+
+
+def nll_at(probs: Column, gold: Column, temperature: Column | float) -> Column:
+    """Cross entropy at a temperature by log-sum-exp, without a floor on the rescaled probabilities; gold names without a probability are left out."""
+    t = F.lit(temperature) if isinstance(temperature, (int, float)) else temperature
+    z = F.transform(logits(probs), lambda e: F.struct(e["key"].alias("key"), (e["z"] / t).alias("z")))
+    top = lambda x: F.array_max(F.transform(x, lambda e: e["z"]))
+    norm = let(F.struct(z.alias("z"), top(z).alias("m")), lambda x: x["m"] + F.log(F.aggregate(x["z"], F.lit(0.0), lambda a, e: a + F.exp(e["z"] - x["m"]))))
+    return let(F.struct(z.alias("z"), norm.alias("n")), lambda x: F.aggregate(F.filter(gold, lambda g: g["p"] > 0), F.lit(0.0), lambda a, g: a + g["p"] * F.coalesce(x["n"] - F.try_element_at(F.filter(x["z"], lambda e: e["key"] == g["key"]), F.lit(-1))["z"], F.lit(0.0))))
+
+
+def averaged(df: DataFrame, by: list[str], probs: str) -> DataFrame:
+    """(by..., n, probabilities): mean probability per option over the rows of a group, renormalised, options by name.
+
+    For answers to one question with its options in several orders: options are matched by name.
+    """
+    each = df.select(*by, F.explode(probs).alias("e")).groupBy(*by, F.col("e.key").alias("key")).agg(F.sum("e.p").alias("s"))
+    rows = df.groupBy(*by).agg(F.count("*").alias("n"))
+    whole = each.groupBy(*by).agg(F.sum("s").alias("t"), F.array_sort(F.collect_list(F.struct("key", "s"))).alias("l"))  # one entry per option of a question
+    share = F.transform("l", lambda x: F.struct(x["key"].alias("key"), (x["s"] / F.col("t")).alias("p")))
+    return rows.join(whole.where("t > 0").select(*by, share.alias("probabilities")), by)
 
 
 def smoothed(dist: Column, eps: float) -> Column:

@@ -62,6 +62,18 @@ def transitions(pairs: DataFrame, by: list[str] = ()) -> DataFrame:
     return pairs.groupBy(*by).agg(F.count("*").alias("n"), F.count_if(F.col("prediction_a") != F.col("prediction_b")).alias("changed"), F.count_if(~F.col("correct_a") & F.col("correct_b")).alias("wrong_to_right"), F.count_if(F.col("correct_a") & ~F.col("correct_b")).alias("right_to_wrong"))
 
 
+def gain_change(records: DataFrame, run: str, runs: tuple[str, str], unit: list[str], by: list[str], control: str = "control", wrong: str = "mismatched", right: str = "correct") -> DataFrame:
+    """(by..., n, gain_change): how much more the second run gains from the true picture than the first one does.
+
+    Per unit (the columns ``unit``) four means are joined: each run with the true and with a wrong picture;
+    units that lack one of the four are left out, n is the number of the others.
+    """
+    ok = F.col(right).cast("double")
+    c = records.groupBy(run, *unit).agg((F.avg(F.when(F.col(control).isNull(), ok)) - F.avg(F.when(F.col(control) == wrong, ok))).alias("gain")).where("gain is not null")
+    side = lambda r, s: c.where(F.col(run) == r).select(*unit, F.col("gain").alias(s))
+    return side(runs[0], "x").join(side(runs[1], "y"), unit).groupBy(*by).agg(F.count("*").alias("n"), F.avg(F.col("y") - F.col("x")).alias("gain_change"))
+
+
 def order_sensitivity(pairs: DataFrame, by: list[str] = ()) -> DataFrame:
     """(by..., n, flip_rate, mean_change, max_change) between two orders of the same options."""
     change = F.transform("probabilities_a", lambda e: F.abs(e["p"] - P.p_of(F.col("probabilities_b"), e["key"])))

@@ -204,15 +204,13 @@ def teacher_blend(spark, folder):
     return a.join(t, compare.KEY).select("sample_id", "asked_at", "loaded_at", F.transform(compare.blended(F.col("gold"), F.col("t"), 0.3), lambda e: F.round(e["p"], 6)).alias("p"))
 
 
-@query("gain_change", f"""
-with c as (select run_id, sample_id, qid, avg(case when control is null then correct::int end) as real, avg(case when control = 'mismatched' then correct::int end) as mis, any_value(kind) as kind from eval_records group by all)
-select kind, count(*) as n, round(avg((y.real - y.mis) - (x.real - x.mis)), 6) as gain_change from c x join c y using (sample_id, qid, kind) where x.run_id = 'r21' and y.run_id = 'r24' and x.real is not null and x.mis is not null and y.real is not null and y.mis is not null group by kind""")
+@query("gain_change", """
+with c as (select run_id, kind, len(options) as k, avg(case when control is null then correct::int end) as real, avg(case when control = 'mismatched' then correct::int end) as mis from eval_records group by all)
+select x.kind as kind, count(*) as n, round(avg((y.real - y.mis) - (x.real - x.mis)), 6) as gain_change from c x join c y on x.kind = y.kind and x.k = y.k where x.run_id = 'r21' and y.run_id = 'r24' and x.real is not null and x.mis is not null and y.real is not null and y.mis is not null group by x.kind""")
 def gain_change(spark, folder):
-    ok = F.col("correct").cast("double")
-    c = records(spark, folder).groupBy("run_id", "sample_id", "qid", "kind").agg(F.avg(F.when(F.col("control").isNull(), ok)).alias("real"), F.avg(F.when(F.col("control") == "mismatched", ok)).alias("mis")).where("real is not null and mis is not null")
-    side = lambda run, s: c.where(F.col("run_id") == run).select("sample_id", "qid", "kind", (F.col("real") - F.col("mis")).alias(s))
-    j = side("r21", "x").join(side("r24", "y"), ["sample_id", "qid", "kind"])
-    return rounded(j.groupBy("kind").agg(F.count("*").alias("n"), F.avg(F.col("y") - F.col("x")).alias("gain_change")), "gain_change")
+    """Questions hardly have all four answers in these data, so the units are the questions of one kind with as many options."""
+    r = records(spark, folder).withColumn("k", F.size("options"))
+    return rounded(compare.gain_change(r, "run_id", ("r21", "r24"), ["kind", "k"], ["kind"]), "gain_change")
 
 
 GRID = calibrate.log_grid(0.3, 8.0, 60)
@@ -233,7 +231,29 @@ def calibrate_grid(spark, folder):
     return rounded(calibrate.fit(d, ["bucket"], GRID, F.col("gold"), F.col("probabilities")), "loss", "loss_at_1")
 
 
-@query("calibrated_metrics")
+_CALIBRATED = f"""
+with k as (select *, case when {_KIND} in ('noul', 'yesno') then 'noul' when {_KIND} in ('choice', 'multichoice', 'multiplechoice') then 'choice' else {_KIND} end as clean from eval_records),
+b as (select *, case when clean = 'noul' then 'noul:2' when len(options) <= 2 then clean || ':2' when len(options) <= 5 then clean || ':3-5' when len(options) <= 10 then clean || ':6-10' else clean || ':11+' end as bucket from k),
+u as (select bucket as grp, gold, probabilities from b union all select 'kind ' || clean, gold, probabilities from b),
+t as (select unnest({sorted({*GRID, 1.0})}::double[]) as t),
+z as (select grp, t, gold, probabilities, list_transform(probabilities, lambda e: ln(greatest(e.p, 1e-12)) / t) as z from u, t),
+s as (select grp, t, gold, probabilities, list_transform(z, lambda x: exp(x - list_max(z))) as e from z),
+q as (select grp, t, coalesce(list_sum(list_transform(gold, lambda g: case when g.p > 0 then -g.p * ln(greatest(coalesce(e[list_position(list_transform(probabilities, lambda d: d.key), g.key)], 0) / list_sum(e), 1e-12)) else 0 end)), 0) as l from s),
+m as (select grp, t, round(avg(l), 9) as loss, count(*) as n from q group by all),
+f as (select grp, case when any_value(n) >= 50 then arg_min(t, (loss, t)) else 1.0 end as temperature from m group by grp),
+c as (select b.*, coalesce(f.temperature, g.temperature, 1.0) as tt from b left join f on f.grp = bucket left join f g on g.grp = 'kind ' || clean),
+y as (select *, list_transform(probabilities, lambda e: ln(greatest(e.p, 1e-12)) / tt) as zz from c),
+x as (select *, list_transform(zz, lambda v: exp(v - list_max(zz))) as ee from y),
+w as (select * exclude (probabilities, prediction, p_prediction), list_transform(probabilities, lambda d, i: {{'key': d.key, 'p': ee[i] / list_sum(ee)}}) as probabilities from x),
+r as (select *, list_max(list_transform(probabilities, lambda e: e.p)) as p_prediction, list_filter(probabilities, lambda e: e.p = list_max(list_transform(probabilities, lambda d: d.p)))[1].key as prediction from w)"""
+
+
+@query("calibrated_metrics", f"""{_CALIBRATED},
+v as (select run_id, image_id, source, kind, axis, options, p_prediction, (prediction = gold_answer)::int as ok, coalesce(list_sum(list_transform(gold, lambda g: case when g.p > 0 then -g.p * ln(greatest({_P}, 1e-12)) else 0 end)), 0) as nll, coalesce(list_sum(list_transform(gold, lambda g: power({_P} - g.p, 2))), 0) as brier from r),
+g as (select run_id, unnest([{{'field': 'all', 'value': 'all'}}, {{'field': 'source', 'value': coalesce(nullif(source, ''), '-')}}, {{'field': 'kind', 'value': coalesce(nullif(kind, ''), '-')}}, {{'field': 'axis', 'value': coalesce(nullif(axis, ''), '-')}}, {{'field': 'options', 'value': cast(len(options) as varchar)}}]) as x, image_id, ok, nll, brier, p_prediction from v),
+h as (select run_id, x.field as field, x.value as value, image_id, ok, nll, brier, p_prediction, least(floor(p_prediction * 15), 14) as bin from g),
+n as (select run_id, field, value, bin, count(*) as n, sum(ok) as k, sum(p_prediction) as c from h group by all), e as (select run_id, field, value, sum(abs(c - k)) / sum(n) as ece from n group by all)
+select run_id, field, value, count(*) as n, count(distinct image_id) as images, round(avg(ok), 6) as accuracy, round(avg(nll), 6) as nll, round(avg(brier), 6) as brier, round(any_value(ece), 6) as ece from h join e using (run_id, field, value) group by run_id, field, value""")
 def calibrated_metrics(spark, folder):
     d = with_buckets(records(spark, folder))
     fit = lambda by: calibrate.fit(d, [by], GRID, F.col("gold"), F.col("probabilities"))
@@ -241,6 +261,23 @@ def calibrated_metrics(spark, folder):
     return rounded(metrics.summary(scorer.answered(t).drop("confidence")), "accuracy", "nll", "brier", "ece")
 
 
+@query("out_of_fold_temperatures", f"""
+with k as (select *, case when {_KIND} in ('noul', 'yesno') then 'noul' when {_KIND} in ('choice', 'multichoice', 'multiplechoice') then 'choice' else {_KIND} end as clean from eval_records),
+b as (select *, case when clean = 'noul' then 'noul:2' when len(options) <= 2 then clean || ':2' when len(options) <= 5 then clean || ':3-5' when len(options) <= 10 then clean || ':6-10' else clean || ':11+' end as bucket,
+  case when ('0x' || substr(md5('half|' || sample_id), 1, 8))::bigint / 4294967296.0 < 0.5 then 0 else 1 end as half from k),
+t as (select unnest({sorted({*GRID, 1.0})}::double[]) as t),
+z as (select bucket, half, t, gold, probabilities, list_transform(probabilities, lambda e: ln(greatest(e.p, 1e-12)) / t) as z from b, t),
+s as (select bucket, half, t, gold, probabilities, list_transform(z, lambda x: exp(x - list_max(z))) as e from z),
+q as (select bucket, half, t, coalesce(list_sum(list_transform(gold, lambda g: case when g.p > 0 then -g.p * ln(greatest(coalesce(e[list_position(list_transform(probabilities, lambda d: d.key), g.key)], 0) / list_sum(e), 1e-12)) else 0 end)), 0) as l from s),
+m as (select bucket, 1 - half as half, t, round(avg(l), 9) as loss, count(*) as n from q group by all),
+f as (select bucket, half, case when any_value(n) >= 50 then arg_min(t, (loss, t)) else 1.0 end as temperature from m group by all)
+select b.bucket as bucket, b.half::int as half, coalesce(any_value(f.temperature), 1.0) as temperature, count(*) as n from b left join f using (bucket, half) group by b.bucket, b.half""")
+def out_of_fold_temperatures(spark, folder):
+    d = with_buckets(records(spark, folder)).withColumn("half", F.when(unit(hash_key("half", "sample_id")) < 0.5, 0).otherwise(1))
+    t = calibrate.out_of_fold(d, "half", "bucket", GRID, F.col("gold"), F.col("probabilities"))
+    return t.groupBy("bucket", "half").agg(F.first("temperature").alias("temperature"), F.count("*").alias("n"))
+
+
 @query("bootstrap_ci")
 def bootstrap_ci(spark, folder):
     p = run_pairs(spark, folder).withColumns({"kind": F.col("kind_b"), "image": F.coalesce("image_id_b", F.concat(F.lit("sample "), "sample_id"))})
@@ -269,8 +306,8 @@ select run_id, count(*) as asked, count_if(n is null)::bigint as missing, count_
 def completeness(spark, folder):
     r = records(spark, folder).groupBy("run_id", "sample_id").agg(F.count("*").alias("n"))
     v = table(spark, folder, "val").select(F.col("id").alias("sample_id")).distinct()
-    names = [x[0] for x in r.select("run_id").distinct().limit(1000).collect()]  # runs are named by hand: a few
-    asked = v.withColumn("run_id", F.explode(F.array(*map(F.lit, names))) if names else F.lit(None).cast("string"))
+    runs_there = r.select("run_id").distinct().agg(F.collect_list("run_id").alias("names"))  # runs are named by hand: a few
+    asked = v.join(runs_there).withColumn("run_id", F.explode("names")).drop("names")
     return asked.join(r, ["run_id", "sample_id"], "left").groupBy("run_id").agg(F.count("*").alias("asked"), F.count_if(F.col("n").isNull()).alias("missing"), F.count_if(F.col("n") > 1).alias("repeated"))
 
 
@@ -298,7 +335,12 @@ def question_only_baseline(spark, folder):
     return rounded(metrics.majority_accuracy(r.where("_half"), r.where("not _half"), "kind", "gold_answer", 1.0 / F.size("options")), "accuracy")
 
 
-@query("wording_prior_loo")
+@query("wording_prior_loo", """with d as (select regexp_replace(regexp_replace(trim(regexp_replace(regexp_replace(lower(instructions), '\\s+', ' ', 'g'), '[ ?]+$', '')), '"[^"]*"', '_', 'g'), '[0-9]+(\\.[0-9]+)?', '#', 'g') as w,
+  list_filter(gold, lambda e: e.p = list_max(list_transform(gold, lambda x: x.p)))[1].key as a from train),
+c as (select w, a, count(*) as c from d where w is not null and a is not null group by all), n as (select w, sum(c) as n from c group by w),
+p as (select x.w, x.a, x.c, n.n, max(y.c) as rest, count(y.c) filter (y.c = x.c - 1) as ties from c x join n using (w) left join c y on x.w = y.w and x.a <> y.a group by all),
+k as (select *, case when n < 2 then null when c - 1 > coalesce(rest, 0) then 1.0 when c - 1 = coalesce(rest, 0) and c > 1 then 1.0 / (1 + ties) else 0.0 end as credit from p)
+select sum(c)::bigint as n, coalesce(sum(c) filter (n > 1), 0)::bigint as seen, round(sum(credit * c) / sum(c) filter (n > 1), 6) as accuracy from k""")
 def wording_prior_loo(spark, folder):
     d = table(spark, folder, "train").select(X.template(X.norm(F.col("instructions"))).alias("w"), P.argmax_key(F.col("gold")).alias("a"))
     return rounded(metrics.loo_prior(d.where("w is not null and a is not null"), "w", "a"), "accuracy")

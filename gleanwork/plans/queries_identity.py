@@ -10,46 +10,25 @@ from gleanwork.plans.registry import Registry, table
 
 query = Registry()
 
-_BITS = "list_reduce(list_prepend(0::bigint, list_transform(range(1, 63), lambda i: case when embedding[i] > 0 then (1::bigint << (i - 1)) else 0 end)), lambda a, b: a | b)"
-
-
-@query("hamming_pairs", f"with e as (select vec_id, {_BITS} as h from embeddings) select a.vec_id as vec_a, b.vec_id as vec_b, bit_count(xor(a.h, b.h))::int as distance from e a, e b where a.vec_id < b.vec_id and bit_count(xor(a.h, b.h)) <= 12")
-def hamming_pairs(spark, folder):
-    e = table(spark, folder, "embeddings").select("vec_id", identity.sign_bits(F.slice("embedding", 1, 62)).alias("h"))
-    p = identity.hamming_pairs(e.withColumnRenamed("vec_id", "vec_a"), e.withColumnRenamed("vec_id", "vec_b"), "vec_a", "vec_b", "h", 12)
-    return p.where("vec_a < vec_b")
-
-
 _HALF = "list_reduce(list_prepend(0::bigint, list_transform(range(1, 33), lambda i: case when embedding[i + {at}] > 0 then (1::bigint << (i - 1)) else 0 end)), lambda a, b: a | b)"
 
 
-@query("hamming_pairs_whole", f"with e as (select vec_id, {_HALF.format(at=0)} as l, {_HALF.format(at=32)} as h from embeddings), p as (select a.vec_id as vec_a, b.vec_id as vec_b, (bit_count(xor(a.l, b.l)) + bit_count(xor(a.h, b.h)))::int as distance from e a, e b where a.vec_id < b.vec_id) select * from p where distance <= 12")
-def hamming_pairs_whole(spark, folder):
+@query("hamming_pairs", f"with e as (select vec_id, {_HALF.format(at=0)} as l, {_HALF.format(at=32)} as h from embeddings), p as (select a.vec_id as vec_a, b.vec_id as vec_b, (bit_count(xor(a.l, b.l)) + bit_count(xor(a.h, b.h)))::int as distance from e a, e b where a.vec_id < b.vec_id) select * from p where distance <= 16")
+def hamming_pairs(spark, folder):
     e = table(spark, folder, "embeddings").select("vec_id", identity.sign_bits("embedding").alias("h"))
-    p = identity.hamming_pairs(e.withColumnRenamed("vec_id", "vec_a"), e.withColumnRenamed("vec_id", "vec_b"), "vec_a", "vec_b", "h", 12)
+    p = identity.hamming_pairs(e.withColumnRenamed("vec_id", "vec_a"), e.withColumnRenamed("vec_id", "vec_b"), "vec_a", "vec_b", "h", 16)
     return p.where("vec_a < vec_b")
 
 
-@query("first_match", """with x as (select c_custkey, c_mktsegment as k0, c_nationkey as k1 from customer where c_custkey % 7 = 0), i as (select s_name as name, case when s_suppkey % 3 = 0 then 'BUILDING' end as k0, s_nationkey as k1 from supplier),
+@query("first_match", """with x as (select c_custkey, c_mktsegment as k0, c_nationkey as k1 from customer), i as (select s_name as name, case when s_suppkey % 3 = 0 then 'BUILDING' end as k0, s_nationkey as k1 from supplier),
 m0 as (select k0, min(name) as m from i where k0 is not null group by k0), m1 as (select k1, min(name) as m from i where k1 is not null group by k1)
 select c_custkey, coalesce(m0.m, m1.m) as match, case when m0.m is not null then 0 when m1.m is not null then 1 end::int as matched_by from x left join m0 using (k0) left join m1 using (k1)""")
 def first_match(spark, folder):
-    return _first_match(spark, folder, table(spark, folder, "customer").where("c_custkey % 7 = 0"))
-
-
-def _first_match(spark, folder, customers):
-    x = customers.select("c_custkey", F.col("c_mktsegment").alias("k0"), F.col("c_nationkey").alias("k1"))
+    x = table(spark, folder, "customer").select("c_custkey", F.col("c_mktsegment").alias("k0"), F.col("c_nationkey").alias("k1"))
     i = table(spark, folder, "supplier").select(F.col("s_name").alias("name"), F.when(F.col("s_suppkey") % 3 == 0, "BUILDING").alias("k0"), F.col("s_nationkey").alias("k1"))
     return identity.first_match(x, i, ["k0", "k1"], "name").select("c_custkey", "match", "matched_by")
 
 
-@query("first_match_whole", """with x as (select c_custkey, c_mktsegment as k0, c_nationkey as k1 from customer), i as (select s_name as name, case when s_suppkey % 3 = 0 then 'BUILDING' end as k0, s_nationkey as k1 from supplier),
-m0 as (select k0, min(name) as m from i where k0 is not null group by k0), m1 as (select k1, min(name) as m from i where k1 is not null group by k1)
-select c_custkey, coalesce(m0.m, m1.m) as match, case when m0.m is not null then 0 when m1.m is not null then 1 end::int as matched_by from x left join m0 using (k0) left join m1 using (k1)""")
-def first_match_whole(spark, folder):
-    return _first_match(spark, folder, table(spark, folder, "customer"))
-
-
 @query("set_roles", """with s as (select split as set_name, id, nullif(image_id, '') as image_id from val), f as (select id, nullif(image_id, '') as image_id from train), w as (select id, nullif(image_id, '') as image_id from captions),
 x as (select set_name, (id in (select id from f where id <> '') or coalesce(image_id in (select image_id from f where image_id is not null), false)) as a, (id in (select id from w where id <> '') or coalesce(image_id in (select image_id from w where image_id is not null), false)) as b from s)
 select set_name, count(*) as n, count_if(a)::bigint as in_fit, count_if(b)::bigint as in_watched, case when count_if(a) > 0 then 'seen' when count_if(b) > 0 then 'watched' else 'test' end as role from x group by set_name""")
@@ -69,17 +48,9 @@ def cooccurrence(spark, folder):
     return identity.cooccurrence(d, "l_orderkey", "p_brand", 5)
 
 
-@query("clean_relations", """with e as (select distinct l_partkey % 40 as a, case when l_quantity > 25 then 'above' else 'below' end as relation, l_suppkey % 40 as b from lineitem where l_orderkey % 50 = 0 and l_partkey % 40 <> l_suppkey % 40)
+@query("clean_relations", """with e as (select distinct l_partkey as a, case when l_quantity > 25 then 'above' else 'below' end as relation, l_suppkey as b from lineitem where l_partkey <> l_suppkey)
 select a, relation, b from e where not exists (select 1 from e x where x.a = e.a and x.b = e.b and x.relation <> e.relation) and not exists (select 1 from e x where x.a = e.b and x.b = e.a and x.relation = e.relation)""")
 def clean_relations(spark, folder):
-    e = table(spark, folder, "lineitem").where("l_orderkey % 50 = 0 and l_partkey % 40 <> l_suppkey % 40")
-    e = e.select((F.col("l_partkey") % 40).alias("a"), F.when(F.col("l_quantity") > 25, "above").otherwise("below").alias("relation"), (F.col("l_suppkey") % 40).alias("b"))
-    return identity.without_contradictions(e, {"above": "below", "below": "above"})
-
-
-@query("clean_relations_whole", """with e as (select distinct l_partkey as a, case when l_quantity > 25 then 'above' else 'below' end as relation, l_suppkey as b from lineitem where l_partkey <> l_suppkey)
-select a, relation, b from e where not exists (select 1 from e x where x.a = e.a and x.b = e.b and x.relation <> e.relation) and not exists (select 1 from e x where x.a = e.b and x.b = e.a and x.relation = e.relation)""")
-def clean_relations_whole(spark, folder):
     e = table(spark, folder, "lineitem").where("l_partkey <> l_suppkey")
     e = e.select(F.col("l_partkey").alias("a"), F.when(F.col("l_quantity") > 25, "above").otherwise("below").alias("relation"), F.col("l_suppkey").alias("b"))
     return identity.without_contradictions(e, {"above": "below", "below": "above"})
@@ -195,18 +166,8 @@ def box_pairs(spark, folder):
     return p.select("l_orderkey", "pa", "pb", F.round(G.iou(F.col("a"), F.col("b")), 6).alias("iou"), G.relation(F.col("a"), F.col("b"), 40).alias("relation"))
 
 
-@query("box_grids", f"""with b as ({_BOX}), c as (select l_orderkey, l_linenumber, l_partkey, l_suppkey, list_transform(range(0, 16), lambda i: greatest(least((i % 4) * 140.0 + 140, x + w) - greatest((i % 4) * 140.0, x), 0) * greatest(least(floor(i / 4) * 100.0 + 100, y + h) - greatest(floor(i / 4) * 100.0, y), 0)) as g from b where l_orderkey % 10 = 0)
+@query("box_grids", f"""with b as ({_BOX}), c as (select l_orderkey, l_linenumber, l_partkey, l_suppkey, list_transform(range(0, 16), lambda i: greatest(least((i % 4) * 140.0 + 140, x + w) - greatest((i % 4) * 140.0, x), 0) * greatest(least(floor(i / 4) * 100.0 + 100, y + h) - greatest(floor(i / 4) * 100.0, y), 0)) as g from b)
 select l_orderkey, l_linenumber, l_partkey, l_suppkey, list_transform(g, lambda v: round(coalesce(v / nullif(list_sum(g), 0), 1 / 16.0) * 0.9 + 0.1 / 16, 6)) as grid from c""")
 def box_grids(spark, folder):
-    return _box_grids(boxes(spark, folder).where("l_orderkey % 10 = 0"))
-
-
-def _box_grids(b):
     g = G.box_grid(F.col("box"), F.lit(560.0), F.lit(400.0), 4, 0.1)
-    return b.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.transform(g, lambda x: F.round(x, 6)).alias("grid"))
-
-
-@query("box_grids_whole", f"""with b as ({_BOX}), c as (select l_orderkey, l_linenumber, l_partkey, l_suppkey, list_transform(range(0, 16), lambda i: greatest(least((i % 4) * 140.0 + 140, x + w) - greatest((i % 4) * 140.0, x), 0) * greatest(least(floor(i / 4) * 100.0 + 100, y + h) - greatest(floor(i / 4) * 100.0, y), 0)) as g from b)
-select l_orderkey, l_linenumber, l_partkey, l_suppkey, list_transform(g, lambda v: round(coalesce(v / nullif(list_sum(g), 0), 1 / 16.0) * 0.9 + 0.1 / 16, 6)) as grid from c""")
-def box_grids_whole(spark, folder):
-    return _box_grids(boxes(spark, folder))
+    return boxes(spark, folder).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.transform(g, lambda x: F.round(x, 6)).alias("grid"))

@@ -9,14 +9,14 @@ from gleanwork.plans.registry import table
 
 
 def test_first_match_answers_every_customer(spark, data):
-    got = queries.QUERIES["first_match_whole"](spark, data)
+    got = queries.QUERIES["first_match"](spark, data)
     customers = table(spark, data, "customer").select("c_custkey")
     assert got.count() == customers.count() and customers.join(got, "c_custkey", "left_anti").isEmpty()
     assert got.where(F.col("c_custkey") % 7 != 0).where("match is not null").count() > 0
 
 
 def test_clean_relations_keeps_the_edges_of_all_orders(spark, data):
-    got = set(map(tuple, queries.QUERIES["clean_relations_whole"](spark, data).select("a", "relation", "b").collect()))
+    got = set(map(tuple, queries.QUERIES["clean_relations"](spark, data).select("a", "relation", "b").collect()))
     edges = {(r.l_partkey, "above" if r.l_quantity > 25 else "below", r.l_suppkey) for r in table(spark, data, "lineitem").collect() if r.l_partkey != r.l_suppkey}
     other = {"above": "below", "below": "above"}
     assert got == {(a, r, b) for a, r, b in edges if (a, other[r], b) not in edges and (b, r, a) not in edges}
@@ -25,14 +25,14 @@ def test_clean_relations_keeps_the_edges_of_all_orders(spark, data):
 
 def test_every_box_gets_a_grid(spark, data):
     keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
-    got, boxes = queries.QUERIES["box_grids_whole"](spark, data), table(spark, data, "lineitem").select(keys)
+    got, boxes = queries.QUERIES["box_grids"](spark, data), table(spark, data, "lineitem").select(keys)
     assert got.where("size(grid) = 16").count() == boxes.count() and boxes.exceptAll(got.select(keys)).isEmpty()
 
 
 def test_hamming_pairs_compare_all_64_signs(spark, tmp_path):
     signs = lambda *off: [-1.0 if i in off else 1.0 for i in range(64)]
-    vectors = [(1, signs()), (2, signs(*range(12))), (3, signs(*range(11), 62, 63)), (4, signs(62, 63))]
+    vectors = [(1, signs()), (2, signs(*range(16))), (3, signs(*range(15), 62, 63)), (4, signs(62, 63))]
     spark.createDataFrame(vectors, "vec_id bigint, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
-    got = {(r.vec_a, r.vec_b): r.distance for r in queries.QUERIES["hamming_pairs_whole"](spark, str(tmp_path)).collect()}
+    got = {(r.vec_a, r.vec_b): r.distance for r in queries.QUERIES["hamming_pairs"](spark, str(tmp_path)).collect()}
     far = lambda a, b: sum(x != y for x, y in zip(a, b))
-    assert got == {(i, j): far(a, b) for i, a in vectors for j, b in vectors if i < j and far(a, b) <= 12} and (1, 3) not in got and got[1, 4] == 2
+    assert got == {(i, j): far(a, b) for i, a in vectors for j, b in vectors if i < j and far(a, b) <= 16} and (1, 3) not in got and got[1, 4] == 2
