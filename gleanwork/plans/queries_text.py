@@ -26,7 +26,7 @@ def normalised_wordings(spark, folder):
     return table(spark, folder, "train").select("rec_no", X.norm(i).alias("wording"), X.question_kind(i).alias("question_kind"), X.wording_prefix(i).alias("prefix"))
 
 
-@query("word_features", f"""with w as (select rec_no, {_WORDS} as ws from val) select rec_no, len(ws)::int as n_words, list_sort(list_distinct(list_concat(list_concat(ws, list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])), ['len:' || least(4, len(ws) // 4)]))) as features from w""")
+@query("word_features", f"""with w as (select rec_no, {_WORDS} as ws from val) select rec_no, len(ws)::int as n_words, list_sort(list_distinct(list_concat(list_concat(ws, list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])), ['len:' || least(8, len(ws) // 2)]))) as features from w""")
 def word_features(spark, folder):
     i = F.col("instructions")
     return table(spark, folder, "val").select("rec_no", F.size(X.words(i)).alias("n_words"), F.sort_array(F.array_distinct(X.features(i))).alias("features"))
@@ -123,7 +123,7 @@ def noul_rows(spark, folder):
 
 _NB = f"""
 d as (select rec_no, {_ARG} as answer, {_WORDS} as ws from train),
-k as (select rec_no, answer = 'true' as yes, ('0x' || substr(sha256(rec_no::varchar), 64, 1))::int % 2 as fold, list_distinct(list_concat(list_concat(ws, list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])), ['len:' || least(4, len(ws) // 4)])) as f from d where answer in ('true', 'false')),
+k as (select rec_no, answer = 'true' as yes, ('0x' || substr(sha256(rec_no::varchar), 64, 1))::int % 2 as fold, list_distinct(list_concat(list_concat(ws, list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])), ['len:' || least(8, len(ws) // 2)])) as f from d where answer in ('true', 'false')),
 l as (select rec_no, yes, fold, unnest(f) as f from k), c as (select 1 - fold as fold, f, count_if(yes) as p, count_if(not yes) as q from l group by all having count(*) >= 3),
 s as (select fold, sum(p + 1) as sp, sum(q + 1) as sq from c group by fold), w as (select c.fold as fold, f, ln((p + 1) / sp) - ln((q + 1) / sq) as w from c join s using (fold)),
 n as (select 1 - fold as fold, ln((count_if(yes) + 1.0) / (count_if(not yes) + 1.0)) as prior from k group by fold),
