@@ -161,3 +161,28 @@ def requests(df: DataFrame, by: list[str], most: int, order: list) -> DataFrame:
     """Rows of equal ``by`` packed into requests of at most ``most`` rows: columns ``request`` and ``place``."""
     r = _rank(by, order)
     return df.withColumn("_r", r).withColumns({"request": F.floor((F.col("_r") - 1) / most).cast("int"), "place": ((F.col("_r") - 1) % most).cast("int")}).drop("_r")
+
+
+def cap_share(df: DataFrame, what: Column, share: float, key: str, tie: list[str]) -> DataFrame:
+    """All other rows, and of those for which ``what`` holds the first in hash order that make up at most ``share`` of the result."""
+    d = df.withColumn("_what", F.coalesce(what, F.lit(False)))
+    rest = d.where("not _what").count()
+    first = running_total(d.where("_what"), key, F.lit(1), [], "_b", tie).where(F.col("_b") < int(rest * share / (1 - share))).drop("_b")
+    return d.where("not _what").unionByName(first).drop("_what")
+
+
+def stratified_parts(df: DataFrame, stratum: str, sizes: dict[str, int], other: str, key: str, tie: list[str]) -> DataFrame:
+    """``df`` with ``part``: named parts of given sizes over the strata in proportion, by largest remainder, the rest ``other``.
+    Inside a stratum the parts follow each other in hash order."""
+    n = df.groupBy(stratum).agg(F.count("*").alias("n"))
+    cuts = n.select(stratum, F.lit(0).cast("bigint").alias("_to"))
+    bounds = []
+    for name, size in sizes.items():
+        q = apportion(n, "n", size, [stratum]).select(stratum, F.col("quota").alias("_q"))
+        cuts = _joined(cuts, q, [stratum]).withColumn(f"_to_{len(bounds)}", F.col("_to") + F.col("_q")).withColumn("_to", F.col("_to") + F.col("_q")).drop("_q")
+        bounds.append(name)
+    d = _joined(running_total(df, key, F.lit(1), [stratum], "_b", tie), cuts, [stratum])
+    part = F.lit(other)
+    for i, name in reversed(list(enumerate(bounds))):
+        part = F.when(F.col("_b") < F.col(f"_to_{i}"), F.lit(name)).otherwise(part)
+    return d.withColumn("part", part).select(*df.columns, "part")

@@ -49,6 +49,44 @@ def first_match(df: DataFrame, index: DataFrame, keys: list[str], name: str) ->
     return reduce(DataFrame.unionByName, found, rest.withColumns({"match": F.lit(None).cast("string"), "matched_by": F.lit(None).cast("int")}))
 
 
+def joint_hits(a: DataFrame, b: DataFrame, a_id: str, b_id: str, first: str, second: str, radius: int, other: int) -> DataFrame:
+    """(a_id, b_id, d_first, d_second) of rows within ``radius`` bits by the first hash and ``other`` by the second.
+
+    Candidates come from the first hash's bands; the second is compared for those only.
+    """
+    near = hamming_pairs(a, b, a_id, b_id, first, radius).withColumnRenamed("distance", "d_first")
+    j = near.join(a.select(a_id, F.col(second).alias("_x")), a_id).join(b.select(b_id, F.col(second).alias("_y")), b_id)
+    return j.withColumn("d_second", F.bit_count(F.col("_x").bitwiseXOR(F.col("_y"))).cast("int")).where(F.col("d_second") <= other).select(a_id, b_id, "d_first", "d_second")
+
+
+def nearest(a: DataFrame, b: DataFrame, a_id: str, b_id: str, bits: str, radius: int, mirror: str | None = None) -> DataFrame:
+    """(a_id, b_id, distance): the nearest row of ``b`` within ``radius`` bits, by its own or its ``mirror`` hash; of equals the least id.
+    Rows with none within the radius are there with nulls. Rows of the same id are not compared."""
+    found = hamming_pairs(a, b, a_id, b_id, bits, radius)
+    if mirror:
+        found = found.unionByName(hamming_pairs(a.select(a_id, F.col(bits)), b.select(b_id, F.col(mirror).alias(bits)), a_id, b_id, bits, radius))
+    best = found.where(F.col(a_id) != F.col(b_id)).groupBy(a_id).agg(F.min(F.struct("distance", b_id)).alias("x"))
+    return a.select(a_id).distinct().join(best, a_id, "left").select(a_id, F.col(f"x.{b_id}").alias(b_id), "x.distance")
+
+
+def outside(points: DataFrame, intervals: DataFrame, key: str, point: str, at: str, start: str, stop: str, bin_size: int) -> DataFrame:
+    """Points (named by ``point``) that no interval of their key covers."""
+    hit = covering(points.select(key, point, at), intervals.select(key, start, stop), key, at, start, stop, bin_size)
+    return points.join(hit.select(point).distinct(), point, "left_anti")
+
+
+def covered_by_one(points: DataFrame, intervals: DataFrame, key: str, point: str, at: str, start: str, stop: str, label: str, bin_size: int) -> DataFrame:
+    """(point, label) of points whose covering intervals all have one label; the others are ambiguous and left out."""
+    hit = covering(points.select(key, point, at), intervals.select(key, start, stop, label), key, at, start, stop, bin_size)
+    return hit.groupBy(point).agg(F.min(label).alias(label), F.max(label).alias("_z")).where(F.col(label) == F.col("_z")).drop("_z")
+
+
+def without_broken_groups(df: DataFrame, group: str, held: Column) -> DataFrame:
+    """Rows of groups none of whose rows is held; rows without group stand alone."""
+    bad = df.where(F.col(group).isNotNull() & held).select(group).distinct()
+    return df.join(bad, group, "left_anti").where(F.col(group).isNotNull() | ~F.coalesce(held, F.lit(False)))
+
+
 def roles(sets: DataFrame, fit: DataFrame, watched: DataFrame, ident: str, picture: str) -> DataFrame:
     """(set_name, n, in_fit, in_watched, role): rows that share an id or a picture with the fitted and the
     watched rows; null and empty pictures are shared with none."""

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleanwork.functions import probs as P
+from gleanwork.functions import text as X
 
 GROUPS = ("all", "source", "kind", "axis", "options")
 
@@ -185,3 +186,60 @@ def loo_prior(df: DataFrame, wording: str, answer: str) -> DataFrame:
 def several_answers(df: DataFrame, key: str, answer: str) -> DataFrame:
     """(key, n, n_answers) of keys with more than one distinct answer."""
     return df.groupBy(key).agg(F.count("*").alias("n"), F.count_distinct(answer).alias("n_answers")).where("n_answers > 1")
+
+
+def loo_option_prior(df: DataFrame, ident: str, wording: str, options: str, answer: str) -> DataFrame:
+    """(n, accuracy): of the options offered the one that is most often right for the wording in the other rows, of equals the first.
+
+    Rows meet only the counts of their wording's answers, not other rows.
+    """
+    c = df.groupBy(F.col(wording).alias("_w"), F.col(answer).alias("_o")).agg(F.count("*").alias("_c"))
+    o = df.select(ident, F.col(wording).alias("_w"), F.col(answer).alias("_a"), F.posexplode(options).alias("_i", "_o"))
+    o = o.join(c, ["_w", "_o"], "left").withColumn("_c", F.coalesce("_c", F.lit(0)) - (F.col("_o") == F.col("_a")).cast("int"))
+    pick = o.groupBy(ident).agg(F.min_by(F.struct("_o", "_a"), F.struct(-F.col("_c"), F.col("_i"))).alias("x"))
+    return pick.agg(F.count("*").alias("n"), _mean(F.col("x._o") == F.col("x._a")).alias("accuracy"))
+
+
+def wording_choice(fit: DataFrame, test: DataFrame, ident: str, wording: str, options: str, answer: str, by: list[str] = ()) -> DataFrame:
+    """(by..., n, accuracy, chance, seen): the option most often right for the wording in ``fit``, of equals the one most often right
+    anywhere, and of those left an even share of the credit; ``seen`` is the share of rows whose wording was there."""
+    by = list(by)
+    per = fit.groupBy(F.col(wording).alias("_w"), F.col(answer).alias("_o")).agg(F.count("*").alias("_c"))
+    anywhere = per.groupBy("_o").agg(F.sum("_c").alias("_all"))
+    there = per.select("_w").distinct().withColumn("_seen", F.lit(1.0))
+    o = test.select(ident, *by, F.col(wording).alias("_w"), F.col(answer).alias("_a"), F.explode(F.array_distinct(options)).alias("_o"))
+    o = o.join(per, ["_w", "_o"], "left").join(anywhere, "_o", "left").join(there, "_w", "left").fillna(0, ["_c", "_all"])
+    w = Window.partitionBy(ident)  # a question's own options
+    o = o.withColumn("_best", F.max(F.struct("_c", "_all")).over(w) == F.struct("_c", "_all"))
+    each = o.groupBy(ident, *by).agg(F.try_divide(F.count_if(F.col("_best") & (F.col("_o") == F.col("_a"))), F.count_if("_best")).alias("_k"), (1.0 / F.count("*")).alias("_ch"), F.coalesce(F.max("_seen"), F.lit(0.0)).alias("_s"))
+    return each.groupBy(*by).agg(F.count("*").alias("n"), F.avg("_k").alias("accuracy"), F.avg("_ch").alias("chance"), F.avg("_s").alias("seen"))
+
+
+def overlap_choice(df: DataFrame, text: Column, options: Column, answer: Column, by: list[str] = ()) -> DataFrame:
+    """(by..., n, accuracy): the option that shares most words with the text; of equals the first."""
+    share = F.transform(options, lambda o: F.size(F.array_intersect(X.words(text), X.words(o))))
+    pick = F.get(options, (F.array_position(share, F.array_max(share)) - 1).cast("int"))
+    return df.where(F.size(options) > 0).groupBy(*by).agg(F.count("*").alias("n"), _mean(pick == answer).alias("accuracy"))
+
+
+def option_rules(df: DataFrame, values: Column, gold: Column) -> DataFrame:
+    """(n, smallest, lower_median, most_common, chance): how often a rule over the numbers offered alone is right.
+    Rows of which an option or the gold is no number are left out."""
+    d = df.select(F.array_sort(values).alias("_v"), gold.alias("_g")).where((F.size("_v") > 0) & F.col("_g").isNotNull() & ~F.exists("_v", lambda x: x.isNull()))
+    often = d.groupBy("_g").agg(F.count("*").alias("n")).agg(F.min_by("_g", F.struct(-F.col("n"), F.col("_g"))).alias("_often"))
+    at = lambda i: F.get("_v", i)
+    return d.join(often).agg(
+        F.count("*").alias("n"), _mean(at(F.lit(0)) == F.col("_g")).alias("smallest"), _mean(at(F.floor((F.size("_v") - 1) / 2).cast("int")) == F.col("_g")).alias("lower_median"),
+        _mean(F.array_contains("_v", F.col("_often")) & (F.col("_often") == F.col("_g"))).alias("most_common"), F.avg(1.0 / F.size("_v")).alias("chance"),
+    )
+
+
+def blind(records: DataFrame, options: str, gold: str, probabilities: str, threshold: float) -> DataFrame:
+    """Rows of more than two options whose certain gold is given at least ``threshold`` although the picture is a wrong one."""
+    best = P.argmax_key(F.col(gold))
+    return records.where((F.size(options) > 2) & (P.p_of(F.col(gold), best) >= 1.0) & (P.p_of(F.col(probabilities), best) >= threshold))
+
+
+def rate_at_least(df: DataFrame, by: str, hit: Column, rate: float, least: int) -> DataFrame:
+    """(by, n, rate) of the groups of at least ``least`` rows in which ``hit`` is that frequent."""
+    return df.groupBy(by).agg(F.count("*").alias("n"), _mean(hit).alias("rate")).where((F.col("n") >= least) & (F.col("rate") >= rate))
