@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from gleanwork.llm import encode, mixing, overlap, quota, skeleton, splits
+from gleanwork.plans.queries_build import PICTURES_SQL
 from gleanwork.plans.registry import Registry, table
 
 query = Registry()
@@ -37,7 +38,8 @@ query("p2_found")(_p2(overlap.overlap_pairs))
 query("p2_counts")(_p2(overlap.overlap_counts))
 
 
-@query("p3_found")
+@query("p3_found", f"""with recursive {PICTURES_SQL}, t as (select distinct src, picture from pics where src is not null and picture is not null), e as (select distinct x.src as a, y.src as b from t x join t y using (picture) where x.src <> y.src),
+r as (select a, b from e union select r.a, e.b from r join e on r.b = e.a) select a as source_a, b as source_b from r where a < b""")
 def p3_found(spark, folder):
     return splits.tied_sources(table(spark, folder, "train"), table(spark, folder, "image_alias"))
 
@@ -56,7 +58,13 @@ def p3_report(spark, folder):
     return splits.split_report(_record_splits(spark, folder), table(spark, folder, "split_targets"))
 
 
-@query("p4_found")
+_LETTERS = "regexp_replace(lower(type), '[^a-z]', '', 'g')"
+
+
+@query("p4_found", f"""with t as (select id, case when {_LETTERS} in ('noul', 'yesno', 'yesorno', 'boolean', 'bool', 'binary') then 'noul' when {_LETTERS} in ('choice', 'multichoice', 'multiplechoice', 'mc', 'singlechoice') then 'choice' when {_LETTERS} in ('score', 'rating', 'rate') then 'score' end as type,
+  nullif(split_part(regexp_replace(regexp_replace(lower(source), '^[^a-z0-9]+|[^a-z0-9]+$', '', 'g'), '[^a-z0-9]+', '/', 'g'), '/', 1), '') as collection from train where id is not null),
+n as (select type, collection, count(distinct id) as n from t group by all), s as (select count(distinct id) * 0.25::double as size from t)
+select q.type as type, q.collection as collection from s, quota_targets q left join n on n.type = q.type and n.collection = q.collection where coalesce(n, 0) < greatest(q.min_rows::double, q.share * size)""")
 def p4_found(spark, folder):
     return quota.quota_plan(table(spark, folder, "train"), table(spark, folder, "quota_targets")).where("short").select("type", "collection")
 
