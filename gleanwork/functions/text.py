@@ -122,7 +122,7 @@ def short_answer(t: Column) -> Column:
 def question_text(t: Column) -> Column:
     """A question without what says in what form to answer: lines at the end, and what follows its mark on its own line."""
     says = lambda x: F.lower(x).rlike("^(" + "|".join(ANSWER_LINES) + ")")
-    lines = F.filter(F.transform(F.split(t, r"\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(t, r"\n"), lambda x: F.trim(x)), lambda x: x != "")
     kept = F.transform(lines, lambda x, i: F.when((i == 0) | x.endswith("?") | ~says(x), i + 1).otherwise(F.lit(0)))
     text = F.array_join(F.slice(lines, F.lit(1), F.greatest(F.coalesce(F.array_max(kept), F.lit(0)), F.lit(0))), " ")
     tail = F.trim(F.regexp_extract(text, r"^.*\?([^?]*)$", 1))
@@ -143,7 +143,7 @@ def choice_turn(user: Column, assistant: Column) -> Column:
     inner = r"(?s)^\s*(?:Question:\s*)?(.*?)\nChoices:\n(.*?)(?:\nAnswer with.*)?$"
     listed = F.regexp_extract(F.trim(user), inner, 2)
     names = F.regexp_extract_all(listed, F.lit(r"(?m)^([A-J])\.\s*(.+)$"), F.lit(1))
-    texts = F.transform(F.regexp_extract_all(listed, F.lit(r"(?m)^([A-J])\.\s*(.+)$"), F.lit(2)), F.trim)
+    texts = F.transform(F.regexp_extract_all(listed, F.lit(r"(?m)^([A-J])\.\s*(.+)$"), F.lit(2)), lambda x: F.trim(x))
     at = F.array_position(names, F.upper(F.left(short_answer(assistant), F.lit(1)))).cast("int")
     good = (F.size(texts) >= 2) & (F.size(F.array_distinct(texts)) == F.size(texts)) & (at > 0)
     return F.when(good, F.struct(F.trim(F.regexp_extract(F.trim(user), inner, 1)).alias("question"), texts.alias("options"), F.get(texts, at - 1).alias("answer")))

@@ -293,7 +293,7 @@ def sibling_answers(spark, folder):
 
 
 @query("near_frequency", f"""with d as (select kind, {_ARG} as a from train), c as (select kind, a, count(*) as n from d where a is not null group by all),
-r as (select *, row_number() over (partition by kind order by n desc, a) as r from c)
+r as (select *, row_number() over (partition by kind order by n desc, a) as r from c),
 p as (select x.kind as kind, x.a as answer, x.n as n, y.a as other from r x left join r y on x.kind is not distinct from y.kind and y.r <> x.r and y.r between x.r - 2 and x.r + 2 and y.n <= x.n * 2 and y.n * 2 >= x.n)
 select kind, answer, n, coalesce(list(other order by other) filter (other is not null), []) as others from p group by kind, answer, n""")
 def near_frequency(spark, folder):
