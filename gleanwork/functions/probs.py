@@ -74,11 +74,11 @@ def averaged(df: DataFrame, by: list[str], probs: str) -> DataFrame:
 
     For answers to one question with its options in several orders: options are matched by name.
     """
-    each = df.select(*by, F.explode(probs).alias("e")).groupBy(*by, F.col("e.key").alias("key")).agg(F.sum("e.p").alias("s"))
+    each = df.select(*by, F.explode(probs).alias("_e")).groupBy(*by, F.col("_e.key").alias("_k")).agg(F.sum("_e.p").alias("_s"))
     rows = df.groupBy(*by).agg(F.count("*").alias("n"))
-    whole = each.groupBy(*by).agg(F.sum("s").alias("t"), F.array_sort(F.collect_list(F.struct("key", "s"))).alias("l"))  # one entry per option of a question
-    share = F.transform("l", lambda x: F.struct(x["key"].alias("key"), (x["s"] / F.col("t")).alias("p")))
-    return rows.join(whole.where("t > 0").select(*by, share.alias("probabilities")), by)
+    whole = each.groupBy(*by).agg(F.sum("_s").alias("_t"), F.array_sort(F.collect_list(F.struct("_k", "_s"))).alias("_l"))  # one entry per option of a question
+    share = F.transform("_l", lambda x: F.struct(x["_k"].alias("key"), (x["_s"] / F.col("_t")).alias("p")))
+    return rows.join(whole.where("_t > 0").select(*by, share.alias("probabilities")), by)
 
 
 def smoothed(dist: Column, eps: float) -> Column:

@@ -214,9 +214,10 @@ def _fixed(v: Column, decimals: Column) -> Column:
 
 
 def number_spans(t: Column) -> Column:
-    """(start, stop, text) of each number in a text, positions from 0."""
+    """(start, stop, text) of each number in a text, positions from 0. For captions: the list is built up number by number."""
     found = F.regexp_extract_all(t, F.lit(r"([0-9]+(?:[.,][0-9]+)*)"), F.lit(1))
-    step = lambda s, x: F.struct((F.locate(x, t, s["at"] + 1) - 1 + F.length(x)).alias("at"), F.concat(s["out"], F.array(F.struct((F.locate(x, t, s["at"] + 1) - 1).alias("start"), (F.locate(x, t, s["at"] + 1) - 1 + F.length(x)).alias("stop"), x.alias("text")))).alias("out"))
+    begin = lambda s, x: F.call_function("locate", x, t, s["at"] + 1) - 1
+    step = lambda s, x: F.struct((begin(s, x) + F.length(x)).alias("at"), F.concat(s["out"], F.array(F.struct(begin(s, x).alias("start"), (begin(s, x) + F.length(x)).alias("stop"), x.alias("text")))).alias("out"))
     empty = F.array().cast("array<struct<start:int,stop:int,text:string>>")
     return F.aggregate(found, F.struct(F.lit(0).alias("at"), empty.alias("out")), step)["out"]
 
@@ -263,7 +264,8 @@ def table_text(state: Column, header: str, rows: Column) -> Column:
 
 def product_of_square(m: Column, v: Column) -> Column:
     """m * v * v as an exact whole number with thousands marks, from two written numbers; null unless both are whole numbers."""
-    whole = lambda x: F.regexp_replace(F.regexp_replace(F.trim(x), ",", ""), r"\.0*$", "").try_cast("decimal(9,0)")
+    bare = lambda x: F.regexp_replace(F.regexp_replace(F.trim(x), ",", ""), r"\.0*$", "")
+    whole = lambda x: F.when(bare(x).rlike("^-?[0-9]{1,9}$"), bare(x)).cast("decimal(9,0)")
     return thousands((whole(m) * whole(v) * whole(v)).cast("decimal(38,0)").cast("string"))
 
 

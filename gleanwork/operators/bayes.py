@@ -22,7 +22,7 @@ def weights(features: DataFrame, label: str, by: list[str] = (), least: int = 3)
     c = features.groupBy(*by, "f").agg(F.count_if(F.col(label)).alias("p"), F.count_if(~F.col(label)).alias("q")).where(F.col("p") + F.col("q") >= least)
     whole = c.groupBy(*by).agg(F.sum(F.col("p") + 1).alias("sp"), F.sum(F.col("q") + 1).alias("sq"))
     one = [*by] or ["_one"]
-    j = (c if by else c.withColumn("_one", F.lit(1))).join(F.broadcast(whole if by else whole.withColumn("_one", F.lit(1))), one)
+    j = (c if by else c.withColumn("_one", F.lit(1))).join(whole if by else whole.withColumn("_one", F.lit(1)), one)
     return j.select(*by, "f", (F.log((F.col("p") + 1) / F.col("sp")) - F.log((F.col("q") + 1) / F.col("sq"))).alias("w"))
 
 

@@ -136,22 +136,46 @@ def covering(points: DataFrame, intervals: DataFrame, key: str, at: str, start:
     return p.join(i, [key, "_bin"]).where((F.col(start) <= F.col(at)) & (F.col(at) <= F.col(stop))).drop("_bin")
 
 
-def merged_ranges(df: DataFrame, key: str, start: str, stop: str, gap: int, span: int | None = None) -> DataFrame:
+def merged_ranges(df: DataFrame, key: str, start: str, stop: str, gap: int, span: int | None = None, bin_size: int = 86_400) -> DataFrame:
     """(key, start, stop, members): neighbours at most ``gap`` apart read as one range; with ``span`` a
-    range is cut where it would grow beyond it, at multiples of ``span`` from its first start."""
-    w = Window.partitionBy(key).orderBy(start, stop)
-    before = F.max(stop).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    d = df.withColumn("_new", F.when(before.isNull() | (F.col(start) - before > gap), 1).otherwise(0)).withColumn("_g", F.sum("_new").over(w))
+    range is cut where it would grow beyond it, at multiples of ``span`` from its first start.
+
+    Rows are ordered inside bins of ``bin_size`` of a key; what earlier bins hand on, their greatest stop and how many ranges
+    they began, is taken over the bins, so that a long key is spread over its bins.
+    """
+    d = df.where(F.col(start).isNotNull() & F.col(stop).isNotNull()).withColumn("_bin", F.floor(F.col(start) / bin_size))
+    bins = Window.partitionBy(key).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    same = lambda x: F.col(f"d.{key}").eqNullSafe(F.col(f"{x}.{key}")) & (F.col("d._bin") == F.col(f"{x}._bin"))
+    reach = d.groupBy(key, "_bin").agg(F.max(stop).alias("_m")).withColumn("_carry", F.max("_m").over(bins)).select(key, "_bin", "_carry")
+    d = d.alias("d").join(reach.alias("r"), same("r"), "left").select("d.*", "_carry")
+    w = Window.partitionBy(key, "_bin").orderBy(start, stop)
+    before = F.greatest(F.max(stop).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.col("_carry"))
+    d = d.withColumn("_new", F.when(before.isNull() | (F.col(start) - before > gap), 1).otherwise(0))
+    begun = d.groupBy(key, "_bin").agg(F.sum("_new").alias("_m")).withColumn("_base", F.coalesce(F.sum("_m").over(bins), F.lit(0))).select(key, "_bin", "_base")
+    d = d.alias("d").join(begun.alias("r"), same("r"), "left").select("d.*", "_base").withColumn("_g", F.col("_base") + F.sum("_new").over(w))
     by = [key, "_g"]
     if span is not None:
-        d = d.withColumn("_c", F.floor((F.col(start) - F.min(start).over(Window.partitionBy(*by))) / span))
+        first = d.groupBy(*by).agg(F.min(start).alias("_first"))
+        d = d.alias("d").join(first.alias("r"), F.col(f"d.{key}").eqNullSafe(F.col(f"r.{key}")) & (F.col("d._g") == F.col("r._g"))).select("d.*", "_first").withColumn("_c", F.floor((F.col(start) - F.col("_first")) / span))
         by.append("_c")
     return d.groupBy(*by).agg(F.min(start).alias(start), F.max(stop).alias(stop), F.count("*").alias("members")).drop("_g", "_c")
 
 
-def nearest_before(left: DataFrame, right: DataFrame, by: list[str], at: str, value: str) -> DataFrame:
+def nearest_before(left: DataFrame, right: DataFrame, by: list[str], at: str, value: str, bin_of: Column | None = None) -> DataFrame:
     """As-of: each left row with the ``value`` of the last right row of its key at or before it; a union and
-    one window, so that no left row meets more than its own key's rows once."""
+    one window, so that no left row meets more than its own key's rows once.
+
+    With ``bin_of``, a whole number that never falls as ``at`` grows (a day, say), the window is one bin of a key, and
+    the last value before a bin is handed on over the bins: a long key is many tasks.
+    """
     both = left.withColumns({"_v": F.lit(None).cast(right.schema[value].dataType), "_s": F.lit(1)}).unionByName(right.select(*by, at, F.col(value).alias("_v"), F.lit(0).alias("_s")), allowMissingColumns=True)
-    w = Window.partitionBy(*by).orderBy(at, "_s").rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn(f"{value}_before", F.last("_v", ignorenulls=True).over(w)).where("_s = 1").drop("_v", "_s")
+    both = both.withColumn("_bin", F.lit(0) if bin_of is None else bin_of)
+    w = Window.partitionBy(*by, "_bin").orderBy(at, "_s").rowsBetween(Window.unboundedPreceding, 0)
+    own = F.last("_v", ignorenulls=True).over(w)
+    if bin_of is None:
+        return both.withColumn(f"{value}_before", own).where("_s = 1").drop("_v", "_s", "_bin")
+    last = both.groupBy(*by, "_bin").agg(F.max_by("_v", F.when(F.col("_v").isNotNull(), F.struct(at, "_s"))).alias("_l"))
+    last = last.withColumn("_carry", F.last("_l", ignorenulls=True).over(Window.partitionBy(*by).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1))).select(*by, "_bin", "_carry")
+    met = reduce(lambda p, q: p & q, (F.col(f"d.{c}").eqNullSafe(F.col(f"r.{c}")) for c in (*by, "_bin")))
+    d = both.withColumn("_own", own).where("_s = 1").alias("d").join(last.alias("r"), met, "left").select("d.*", "_carry")
+    return d.withColumn(f"{value}_before", F.coalesce("_own", "_carry")).drop("_v", "_s", "_bin", "_own", "_carry")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -83,40 +85,46 @@ def confusion(records: DataFrame, by: list[str]) -> DataFrame:
     return c.withColumn("f1", F.coalesce(F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")), F.lit(0.0)))
 
 
-def latency(df: DataFrame, value: str, by: list[str], digits: int = 3) -> DataFrame:
-    """Median, 95th percentile (interpolated), mean and rate per second of the values that are there.
+def quantiles(df: DataFrame, value: str, by: list[str], at: list[float], digits: int = 3) -> DataFrame:
+    """(by..., q0, q1, ...): exact interpolated quantiles of the values that are there, without a buffer of all values.
 
-    Exact without a buffer of all values: values are counted in buckets of ``digits`` significant
-    digits, the buckets that hold the wanted ranks are found in the running counts, and only the values of those buckets
-    (at most 9 x 10^(digits - 1) buckets per power of ten, so one in hundreds) are counted one by one.
+    Values are counted in buckets of ``digits`` significant digits, the buckets that hold the wanted ranks
+    are found in the running counts, and only the values of those buckets (at most 9 x 10^(digits - 1) buckets
+    per power of ten, so about one value in hundreds) are counted one by one.
     """
     v = F.col(value).cast("double")
     there = df.where(v.isNotNull() & ~F.isnan(v)).select(*by, v.alias("_v"))
     scale = F.pow(F.lit(10.0), F.lit(digits - 1) - F.floor(F.log10(F.abs(F.col("_v")))))
     there = there.withColumn("_b", F.when(F.col("_v") == 0, 0.0).otherwise(F.floor(F.col("_v") * scale) / scale))
-    counts = there.groupBy(*by, "_b").agg(F.count("*").alias("_n"), F.sum("_v").alias("_s"))
-    order = Window.partitionBy(*by).orderBy("_b")
-    counts = counts.withColumn("_before", F.sum("_n").over(order) - F.col("_n")).withColumn("_all", F.sum("_n").over(Window.partitionBy(*by)))
-    wanted = [(q, f) for q in (0.5, 0.95) for f in (F.floor, F.ceil)]
-    rank = lambda q, f: f((F.col("_all") - 1) * F.lit(q)).cast("bigint")
-    holds = lambda q, f, n: (F.col("_before") <= rank(q, f)) & (rank(q, f) < F.col("_before") + F.col(n))
-    hot = counts.where(F.expr("false") if not wanted else F.greatest(*(holds(q, f, "_n").cast("int") for q, f in wanted)) == 1)
-    same = [F.col(f"t.{c}").eqNullSafe(F.col(f"h.{c}")) for c in by]
-    cond = F.col("t._b") == F.col("h._b")
-    for x in same:
-        cond &= x
-    each = there.alias("t").join(hot.alias("h"), cond).groupBy(*(F.col(f"t.{c}").alias(c) for c in by), F.col("t._b").alias("_b"), F.col("t._v").alias("_v"), F.col("h._before").alias("_start"), F.col("h._all").alias("_all")).agg(F.count("*").alias("_k"))
-    inside = F.sum("_k").over(Window.partitionBy(*by, "_b").orderBy("_v"))
-    each = each.withColumn("_before", F.col("_start") + inside - F.col("_k"))
-    at = lambda q, f: F.max(F.when(holds(q, f, "_k"), F.col("_v")))
-    low_high = each.groupBy(*by).agg(*(at(q, f).alias(f"_{i}") for i, (q, f) in enumerate(wanted)), F.max("_all").alias("_all"))
+    counts = there.groupBy(*by, "_b").agg(F.count("*").alias("_n"))
+    counts = counts.withColumn("_before", F.sum("_n").over(Window.partitionBy(*by).orderBy("_b")) - F.col("_n")).withColumn("_all", F.sum("_n").over(Window.partitionBy(*by)))
+    ranks = [f((F.col("_all") - 1) * F.lit(q)).cast("bigint") for q in at for f in (F.floor, F.ceil)]
+    holds = lambda r, n: (F.col("_before") <= r) & (r < F.col("_before") + F.col(n))
+    hot = counts.where(reduce(lambda x, y: x | y, (holds(r, "_n") for r in ranks)))
+    met = lambda a, b: reduce(lambda x, y: x & y, (F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in by), F.lit(True))
+    each = there.alias("t").join(hot.alias("h"), met("t", "h") & (F.col("t._b") == F.col("h._b"))).groupBy(*(F.col(f"t.{c}").alias(c) for c in by), F.col("t._b").alias("_b"), F.col("t._v").alias("_v"), F.col("h._before").alias("_start"), F.col("h._all").alias("_all")).agg(F.count("*").alias("_k"))
+    each = each.withColumn("_before", F.col("_start") + F.sum("_k").over(Window.partitionBy(*by, "_b").orderBy("_v")) - F.col("_k"))
+    ends = each.groupBy(*by).agg(*(F.max(F.when(holds(r, "_k"), F.col("_v"))).alias(f"_{i}") for i, r in enumerate(ranks)), F.max("_all").alias("_all"))
     part = lambda q: (F.col("_all") - 1) * F.lit(q) - F.floor((F.col("_all") - 1) * F.lit(q))
-    quant = low_high.select(*by, (F.col("_0") + (F.col("_1") - F.col("_0")) * part(0.5)).alias("p50"), (F.col("_2") + (F.col("_3") - F.col("_2")) * part(0.95)).alias("p95"))
-    base = counts.groupBy(*by).agg(F.sum("_n").alias("n"), (F.sum("_s") / F.sum("_n")).alias("mean_ms"), F.try_divide(F.sum("_n") * F.lit(1000.0), F.sum("_s")).alias("per_second"))
-    met = F.lit(True)
-    for c in by:
-        met &= F.col(f"b.{c}").eqNullSafe(F.col(f"q.{c}"))
-    return base.alias("b").join(quant.alias("q"), met).select(*(F.col(f"b.{c}").alias(c) for c in by), "n", "p50", "p95", "mean_ms", "per_second")
+    return ends.select(*by, *((F.col(f"_{2 * i}") + (F.col(f"_{2 * i + 1}") - F.col(f"_{2 * i}")) * part(q)).alias(f"q{i}") for i, q in enumerate(at)))
+
+
+def latency(df: DataFrame, value: str, by: list[str]) -> DataFrame:
+    """Median, 95th percentile (interpolated), mean and rate per second of the values that are there."""
+    v = F.col(value).cast("double")
+    base = df.where(v.isNotNull() & ~F.isnan(v)).groupBy(*by).agg(F.count("*").alias("n"), F.avg(v).alias("mean_ms"), F.try_divide(F.count("*") * F.lit(1000.0), F.sum(v)).alias("per_second"))
+    q = quantiles(df, value, by, [0.5, 0.95])
+    met = reduce(lambda x, y: x & y, (F.col(f"b.{c}").eqNullSafe(F.col(f"q.{c}")) for c in by), F.lit(True))
+    return base.alias("b").join(q.alias("q"), met).select(*(F.col(f"b.{c}").alias(c) for c in by), "n", F.col("q0").alias("p50"), F.col("q1").alias("p95"), "mean_ms", "per_second")
+
+
+def value_spread(df: DataFrame, value: str, by: list[str], below: list[float]) -> DataFrame:
+    """(by..., n, p10, p50, p90, below_...): exact quantiles and the shares of values below each bound."""
+    shares = [F.avg((F.col(value) < x).cast("double")).alias(f"below_{x:g}") for x in below]
+    base = df.where(F.col(value).isNotNull()).groupBy(*by).agg(F.count("*").alias("n"), *shares)
+    q = quantiles(df, value, by, [0.1, 0.5, 0.9])
+    met = reduce(lambda x, y: x & y, (F.col(f"b.{c}").eqNullSafe(F.col(f"q.{c}")) for c in by), F.lit(True))
+    return base.alias("b").join(q.alias("q"), met).select(*(F.col(f"b.{c}").alias(c) for c in by), "n", F.col("q0").alias("p10"), F.col("q1").alias("p50"), F.col("q2").alias("p90"), *(f"below_{x:g}" for x in below))
 
 
 def macro(df: DataFrame, by: list[str], inner: str, value: Column) -> DataFrame:

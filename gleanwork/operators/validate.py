@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleanwork.functions import probs as P
@@ -73,3 +73,57 @@ def histogram(df: DataFrame, columns: list[str]) -> DataFrame:
     """(field, value, n) of several columns in one pass."""
     pairs = F.array(*(F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("value")) for c in columns))
     return df.select(F.explode(pairs).alias("x")).groupBy("x.field", "x.value").agg(F.count("*").alias("n"))
+
+
+def flat(df: DataFrame, group: str, answer: str, most: float = 2.0) -> DataFrame:
+    """(group, top, mean) of groups whose most frequent answer is more than ``most`` times as frequent as the mean of its answers."""
+    c = df.groupBy(group, answer).agg(F.count("*").alias("n"))
+    return c.groupBy(group).agg(F.max("n").alias("top"), F.avg("n").alias("mean")).where(F.col("top") > F.col("mean") * most)
+
+
+def split_state(parts: Column) -> Column:
+    """(text, image, n_images) of a state given as a list of structs (text, image): its texts joined by lines, its first image."""
+    images = F.filter(F.transform(parts, lambda x: x["image"]), lambda x: x.isNotNull())
+    texts = F.filter(F.transform(parts, lambda x: x["text"]), lambda x: x.isNotNull())
+    return F.struct(F.array_join(texts, "\n").alias("text"), F.get(images, F.lit(0)).alias("image"), F.size(images).alias("n_images"))
+
+
+def request_errors(state: Column, image: Column, questions: Column) -> Column:
+    """Why a request can't be answered: no question, a question of too few options or with one twice, more than one picture or two ways of giving it."""
+    s = split_state(state)
+    return reasons(
+        (questions.isNull() | (F.size(questions) == 0), "no question"), (F.exists(questions, lambda q: F.size(q["options"]) < 2), "too few options"),
+        (F.exists(questions, lambda q: F.size(F.array_distinct(q["options"])) < F.size(q["options"])), "repeated option"),
+        (s["n_images"] > 1, "several pictures"), ((s["n_images"] > 0) & image.isNotNull(), "picture given twice"),
+    )
+
+
+def weight_errors(df: DataFrame, ident: str, weights: str, questions: str) -> DataFrame:
+    """(ident, errors) of rows whose question weights (a map) are negative, not finite, or of a question that is not there."""
+    bad = F.exists(F.map_values(weights), lambda w: w.isNull() | F.isnan(w) | (w < 0) | (w == float("inf")))
+    other = F.size(F.array_except(F.map_keys(weights), F.col(questions))) > 0
+    return df.select(ident, reasons((bad, "weight value"), (other, "weight of no question")).alias("errors")).where("size(errors) > 0")
+
+
+def same_start(a: DataFrame, b: DataFrame, by: list[str], key: list[str], order: list, probs: str, close: float) -> DataFrame:
+    """(by..., n, only_a, only_b, differ, worst): whether two runs begin alike.
+
+    The n-th row of a key is compared with the n-th of it on the other side; ``differ`` counts those with an
+    option whose probability is farther apart than ``close``, ``worst`` is the largest distance.
+    """
+    w = Window.partitionBy(*by, *key).orderBy(*order)
+    side = lambda d, s: d.select(*by, *key, F.row_number().over(w).alias("_o"), F.col(probs).alias(f"_{s}"))
+    j = side(a, "a").join(side(b, "b"), [*by, *key, "_o"], "full_outer")
+    far = F.array_max(F.transform("_a", lambda e: F.abs(e["p"] - P.p_of(F.col("_b"), e["key"]))))
+    j = j.withColumn("_far", F.when(F.col("_a").isNotNull() & F.col("_b").isNotNull(), F.coalesce(far, F.lit(0.0))))
+    return j.groupBy(*by).agg(F.count("_far").alias("n"), F.count_if(F.col("_b").isNull()).alias("only_a"), F.count_if(F.col("_a").isNull()).alias("only_b"), F.count_if(F.col("_far") > close).alias("differ"), F.max("_far").alias("worst"))
+
+
+def output_errors(records: DataFrame, data: DataFrame, key: list[str], fixed: list[str]) -> DataFrame:
+    """(problem, n): everything that is wrong with a run's output against the data it was asked about: keys missing, unknown or repeated,
+    fixed columns that differ, probabilities that are none."""
+    from gleanwork.operators.compare import differences
+
+    sides = differences(data, records, key, fixed).select("problem")
+    own = records.select(F.explode(distribution_errors(F.col("options"), F.col("probabilities"))).alias("problem"))
+    return sides.unionByName(own).groupBy("problem").agg(F.count("*").alias("n"))

@@ -7,6 +7,10 @@ from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 from pathlib import Path
 
+from pyarrow import fs
+
+from gleanwork.sources.files import filesystem
+
 
 @dataclass(frozen=True)
 class Step:
@@ -49,23 +53,34 @@ def from_config(config: dict, known: dict[str, set[str]]) -> list[Step]:
     return ordered(steps)
 
 
-def run(steps: list[Step], folder: str | Path, act: Callable[[Step, Path], dict | None], start: str | None = None, force: bool = False) -> dict[str, str]:
+def run(steps: list[Step], folder: str | Path, act: Callable[[Step, str], dict | None], start: str | None = None, force: bool = False) -> dict[str, str]:
     """Runs the steps that lack a done mark for their parameters; ``start`` runs that one and all after it again.
 
-    A mark is written after its step, so that a run that broke off goes on where it stopped.
+    A mark is written after its step, so that a run that broke off goes on where it stopped. ``folder`` may be an
+    address in a shared file system; a step gets its own folder in it.
     """
-    folder, said, again = Path(folder), {}, force
+    at, base = filesystem(str(folder))
+    said, again = {}, force
     for s in steps:
         again |= s.name == start
-        mark = folder / s.name / "done.json"
-        key = {"params": s.params, "needs": list(s.needs)}
-        if not again and mark.exists() and json.loads(mark.read_text()).get("key") == key and all(said[n] == "kept" for n in s.needs):
+        own, key = f"{base}/{s.name}", {"params": s.params, "needs": list(s.needs)}
+        mark = f"{own}/done.json"
+        if not again and _mark(at, mark).get("key") == json.loads(json.dumps(key)) and all(said[n] == "kept" for n in s.needs):
             said[s.name] = "kept"
             continue
-        mark.parent.mkdir(parents=True, exist_ok=True)
-        mark.unlink(missing_ok=True)
-        result = act(s, mark.parent)
-        mark.with_suffix(".part").write_text(json.dumps({"key": key, "result": result}))
-        mark.with_suffix(".part").rename(mark)
+        at.create_dir(own, recursive=True)
+        if at.get_file_info(mark).type == fs.FileType.File:
+            at.delete_file(mark)
+        result = act(s, f"{str(folder).rstrip('/')}/{s.name}")
+        with at.open_output_stream(f"{mark}.part") as f:
+            f.write(json.dumps({"key": key, "result": result}).encode())
+        at.move(f"{mark}.part", mark)
         said[s.name] = "ran"
     return said
+
+
+def _mark(at, mark: str) -> dict:
+    if at.get_file_info(mark).type != fs.FileType.File:
+        return {}
+    with at.open_input_stream(mark) as f:
+        return json.loads(f.read())

@@ -466,3 +466,86 @@ def capped_dev(spark, folder):
     caps = d.select("kind").distinct().withColumn("cap", F.lit(20))
     out = d.where("not dev").unionByName(balance.first_by_cell(d.where("dev"), ["kind"], caps, "h", ["rec_no"]).select(d.columns))
     return out.groupBy("kind", F.when(F.col("dev"), "dev").otherwise("train").alias("part")).agg(F.count("*").alias("n"))
+
+
+# Boxes, starts, spreads
+
+
+@query("same_start", """with x as (select *, row_number() over (partition by kind, sample_id, qid order by loaded_at, asked_at) as o from eval_records where run_id = 'r21' and control is null), y as (select *, row_number() over (partition by kind, sample_id, qid order by loaded_at, asked_at) as o from eval_records where run_id = 'r24' and control is null),
+j as (select coalesce(x.kind, y.kind) as kind, x.sample_id as a, y.sample_id as b, case when x.sample_id is not null and y.sample_id is not null then coalesce(list_max(list_transform(x.probabilities, lambda e: abs(e.p - coalesce(list_filter(y.probabilities, lambda d: d.key = e.key)[-1].p, 0)))), 0) end as far from x full join y on x.kind = y.kind and x.sample_id = y.sample_id and x.qid = y.qid and x.o = y.o)
+select kind, count(far) as n, count_if(b is null)::bigint as only_a, count_if(a is null)::bigint as only_b, count_if(far > 0.3)::bigint as differ, round(max(far), 6) as worst from j group by kind""")
+def same_start(spark, folder):
+    from gleanwork.operators import validate
+
+    r = records(spark, folder).where("control is null")
+    s = validate.same_start(r.where("run_id = 'r21'"), r.where("run_id = 'r24'"), ["kind"], ["sample_id", "qid"], ["loaded_at", "asked_at"], "probabilities", 0.3)
+    return rounded(s, "worst")
+
+
+@query("output_errors", """with v as (select distinct on (id) id as sample_id, split from val), x as (select id as sample_id, count(*) as n from val group by id), y as (select sample_id, count(*) as m from eval_records where run_id = 'r24' group by sample_id),
+s as (select case when n is null then 'missing in a' when m is null then 'missing in b' when n > 1 or m > 1 then 'repeated' end as problem from x full join y using (sample_id)),
+e as (select list_transform(probabilities, lambda d: d.key) as ks, list_transform(probabilities, lambda d: d.p) as ps, options from eval_records where run_id = 'r24'),
+o as (select 'keys' as problem from e where ks is distinct from options union all select 'value' from e where len(list_filter(ps, lambda p: p < 0 or p > 1)) > 0 union all select 'sum' from e where abs(list_sum(ps) - 1) > 1e-4)
+select problem, count(*) as n from (select problem from s where problem is not null union all select problem from o) group by problem""")
+def output_errors(spark, folder):
+    from gleanwork.operators import validate
+
+    r = records(spark, folder).where("run_id = 'r24'")
+    return validate.output_errors(r, table(spark, folder, "val").select(F.col("id").alias("sample_id")), ["sample_id"], [])
+
+
+@query("uneven_kinds", "with c as (select kind, prediction, count(*) as n from eval_records group by all) select kind, max(n) as top, round(avg(n), 6) as mean from c group by kind having max(n) > avg(n) * 2")
+def uneven_kinds(spark, folder):
+    from gleanwork.operators import validate
+
+    return rounded(validate.flat(records(spark, folder), "kind", "prediction"), "mean")
+
+
+@query("value_spread", "select l_returnflag, count(*) as n, round(quantile_cont(l_extendedprice, 0.1), 4) as p10, round(quantile_cont(l_extendedprice, 0.5), 4) as p50, round(quantile_cont(l_extendedprice, 0.9), 4) as p90, round(avg((l_extendedprice < 1000)::int), 6) as below_1000, round(avg((l_extendedprice < 20000)::int), 6) as below_20000 from lineitem group by l_returnflag")
+def value_spread(spark, folder):
+    s = metrics.value_spread(table(spark, folder, "lineitem"), "l_extendedprice", ["l_returnflag"], [1000, 20_000])
+    return rounded(s.withColumns({c: F.round(c, 4) for c in ("p10", "p50", "p90")}), "below_1000", "below_20000")
+
+
+_BOXES = "b as (select l_orderkey, l_linenumber, l_partkey, l_suppkey, (l_partkey % 500)::double as x, (l_suppkey % 300)::double as y, l_quantity + 10 as w, l_tax * 1000 + 10 as h from lineitem)"
+
+
+def _boxes(spark, folder):
+    from gleanwork.plans.queries_identity import boxes
+
+    return boxes(spark, folder)
+
+
+@query("crop_windows", f"""with {_BOXES}, u as (select *, ('0x' || substr({h('crop', "l_orderkey || '-' || l_linenumber || '-' || l_partkey")}, 1, 8))::bigint / 4294967296.0 as u, greatest(0, floor(y + h) - 200 + 1) as lo, least(floor(y), 400 - 200.0) as hi from b)
+select l_orderkey, l_linenumber, l_partkey, l_suppkey, case when x + w <= 561 and y + h <= 401 and h <= 200 and hi >= lo then lo + floor(u * (hi - lo + 1)) end as top from u""")
+def crop_windows(spark, folder):
+    from gleanwork.functions import geometry as G
+
+    u = unit(F.md5(F.concat(F.lit("crop|"), F.concat_ws("-", *(F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey"))))))
+    w = G.crop_window(F.col("box"), F.lit(560.0), F.lit(400.0), 560, 200, u)
+    return _boxes(spark, folder).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", w["y"].alias("top"))
+
+
+@query("region_patches", f"""with {_BOXES}, i as (select unnest(range(0, 64)) as i), p as (select b.*, i, ((i % 8 + 0.5) * 32 - 0) / (256 / 560.0::double) as cx, ((i // 8 + 0.5) * 32 - 36) / (256 / 560.0::double) as cy, 32 / (256 / 560.0::double) as s from b, i),
+t as (select * from p where least(cx + s / 2, 560, x + w) - greatest(cx - s / 2, 0, x) > 1e-9 and least(cy + s / 2, 400, y + h) - greatest(cy - s / 2, 0, y) > 1e-9)
+select l_orderkey, l_linenumber, l_partkey, l_suppkey, count(*)::int as n, min(i)::int as first, (max(i % 8) - min(i % 8))::int as width, (max(i // 8) - min(i // 8))::int as height from t group by l_orderkey, l_linenumber, l_partkey, l_suppkey, x, y, w, h""")
+def region_patches(spark, folder):
+    """Which of 8 x 8 patches of the fitted picture a box touches."""
+    from gleanwork.functions import geometry as G
+
+    r = G.region(F.col("box"), G.box(F.lit(0), F.lit(0), F.lit(560), F.lit(400)), F.lit(560.0), F.lit(400.0), 256, 8)
+    b = _boxes(spark, folder)
+    b = b.groupBy(*b.columns).count().drop("count").withColumn("r", r).where("size(r) > 0")
+    most = lambda f: F.array_max(F.transform("r", f))
+    return b.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.size("r").alias("n"), F.array_min(F.transform("r", lambda p: p["patch"])).alias("first"), most(lambda p: p["col"]).alias("width"), most(lambda p: p["row"]).alias("height"))
+
+
+@query("closer_of_two", """with p as (select l_orderkey, l_linenumber, l_partkey, l_suppkey, (l_partkey % 500 - 280) * l_quantity / (560 / (2 * tan(radians(30)))) as ax, l_quantity as az, (l_suppkey % 300 - 280) * l_discount * 100 / (560 / (2 * tan(radians(30)))) as bx, l_discount * 100 as bz from lineitem),
+d as (select *, sqrt(ax * ax + (az - 10) * (az - 10)) as da, sqrt(bx * bx + (bz - 10) * (bz - 10)) as db from p)
+select case when least(da, db) > 0 and greatest(da, db) / least(da, db) >= 1.3 and greatest(da, db) - least(da, db) >= 1 then case when da < db then 'a' else 'b' end end as closer, count(*) as n from d group by 1""")
+def closer_of_two(spark, folder):
+    from gleanwork.functions import geometry as G
+
+    at = lambda x, z: G.backprojected(x, F.lit(200.0), z, F.lit(560.0), F.lit(400.0))
+    c = G.closer_of_two(G.box(F.lit(0), F.lit(0), F.lit(0), F.lit(0)).withField("z", F.lit(10.0)), at(F.col("l_partkey") % 500, F.col("l_quantity")), at(F.col("l_suppkey") % 300, F.col("l_discount") * 100), 1.3, 1.0)
+    return table(spark, folder, "lineitem").groupBy(c.alias("closer")).agg(F.count("*").alias("n"))

@@ -78,7 +78,7 @@ def merged_ranges(spark, folder):
 def as_of(spark, folder):
     e = table(spark, folder, "events").select("event_id", "user_id", "event_type", "ts", "value")
     views = e.where("event_type = 'view'").groupBy("user_id", "ts").agg(F.max_by("value", "event_id").alias("value"))
-    return identity.nearest_before(e.where("event_type = 'purchase'").select("event_id", "user_id", "ts"), views, ["user_id"], "ts", "value").select("event_id", "value_before")
+    return identity.nearest_before(e.where("event_type = 'purchase'").select("event_id", "user_id", "ts"), views, ["user_id"], "ts", "value", F.datediff("ts", F.lit("2000-01-01"))).select("event_id", "value_before")
 
 
 @query("exclusions", """with h as (select distinct image_id from val where image_id is not null), i as (select distinct id from val), c as (select distinct image_id from captions where image_id is not null)

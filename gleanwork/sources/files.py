@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import hashlib
-import io
+import re
 import struct
 import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyarrow import fs
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -17,6 +18,11 @@ SAMPLE = "id string, source string, kind string, axis string, image_id string, i
 RECORD = "run_id string, sample_id string, qid string, image_id string, source string, kind string, axis string, type string, options array<string>, gold array<struct<key:string,p:double>>, gold_answer string, probabilities array<struct<key:string,p:double>>, prediction string, p_prediction double, control string, correct boolean, latency_ms double"
 
 
+def filesystem(path: str):
+    """(file system, path in it) of a local path or of an address such as ``hdfs://`` or ``s3://``."""
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+
+
 def read_jsonl(spark: SparkSession, path: str | list[str], schema: str, broken: str = "FAILFAST") -> DataFrame:
     """JSON lines with a fixed schema (no pass for inference); blank lines are skipped, gzip is read as it is.
     ``broken``: ``FAILFAST`` raises at a bad line, ``PERMISSIVE`` keeps it in ``_corrupt_record``."""
@@ -25,6 +31,59 @@ def read_jsonl(spark: SparkSession, path: str | list[str], schema: str, broken:
     return spark.read.schema(schema).option("mode", broken).json(path)
 
 
+def bad_lines(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
+    """(file, line, text) of the lines of JSON files that do not fit ``schema``: where to look, line numbers from 1.
+
+    Lines are numbered inside each file by its own splits' order, which plain text scans keep; blank lines count but are never bad.
+    """
+    d = spark.read.option("wholetext", False).text(path).select(F.regexp_extract("_metadata.file_path", r"([^/]+)$", 1).alias("file"), "_metadata.file_block_start", F.monotonically_increasing_id().alias("_id"), F.col("value").alias("text"))
+    d = d.withColumn("line", F.row_number().over(Window.partitionBy("file").orderBy("file_block_start", "_id")))
+    parsed = F.from_json("text", schema + ", _bad string", {"columnNameOfCorruptRecord": "_bad", "mode": "PERMISSIVE"})
+    return d.where((F.trim("text") != "") & parsed["_bad"].isNotNull()).select("file", "line", "text")
+
+
+def matching(spark: SparkSession, path: str, pattern: str, kind: str = "parquet") -> DataFrame:
+    """The files of a folder, at any depth, whose names match, as one table."""
+    return spark.read.format(kind).option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path)
+
+
+def only_ids(df: DataFrame, ids: DataFrame, on: str, columns: list[str]) -> DataFrame:
+    """Some columns of the rows whose id is wanted; the scan reads those columns only and the ids filter it at run time."""
+    return df.select(*dict.fromkeys([on, *columns])).join(ids.select(on).distinct(), on, "left_semi").select(*columns)
+
+
+def answered_questions(questions: DataFrame, answers: DataFrame, on: str = "question_id") -> DataFrame:
+    """Questions with their annotations; an id that is there twice on a side gives every combination, as a join does."""
+    extra = [c for c in answers.columns if c not in questions.columns]
+    return questions.join(answers.select(on, *extra), on)
+
+
+def instances(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(images, boxes) of instance files (``images``, ``annotations``, ``categories`` in one JSON): (image_id, width, height) and
+    (image_id, name, x, y, w, h, area) of all annotations that are not of a crowd."""
+    schema = "images array<struct<id:bigint,width:int,height:int>>, annotations array<struct<image_id:bigint,category_id:bigint,bbox:array<double>,area:double,iscrowd:int>>, categories array<struct<id:bigint,name:string>>"
+    d = spark.read.schema(schema).option("multiLine", True).json(path)
+    names = d.select(F.explode("categories").alias("c")).select(F.col("c.id").alias("category_id"), F.col("c.name").alias("name")).distinct()
+    a = d.select(F.explode("annotations").alias("a")).select("a.*").where(F.coalesce("iscrowd", F.lit(0)) == 0)
+    boxes = a.join(names, "category_id").select("image_id", "name", *(F.get("bbox", F.lit(i)).alias(c) for i, c in enumerate("xywh")), "area")
+    return d.select(F.explode("images").alias("i")).select(F.col("i.id").alias("image_id"), "i.width", "i.height"), boxes
+
+
+def cells(spark: SparkSession, path: str, separator: str = ",") -> DataFrame:
+    """(file, row, col, value) of delimited files as a matrix of trimmed cells, from 0; quotes keep separators together."""
+    d = spark.read.text(path, wholetext=True).select(F.regexp_extract("_metadata.file_path", r"([^/]+)$", 1).alias("file"), F.posexplode(F.split("value", r"\r?\n")).alias("row", "line")).where("line <> ''")
+    outside = rf'{re.escape(separator)}(?=(?:[^"]*"[^"]*")*[^"]*$)'
+    c = d.select("file", "row", F.posexplode(F.split("line", outside)).alias("col", "v"))
+    return c.select("file", "row", "col", F.replace(F.regexp_replace(F.trim("v"), '^"|"$', ""), F.lit('""'), F.lit('"')).alias("value"))
+
+
+def segments(spark: SparkSession, path: str, schema: str, video: str, start: str) -> DataFrame:
+    """(video, n, segments): the segments of a CSV by video, in the order of their starts; a video's own segments."""
+    d = spark.read.schema(schema).option("header", True).csv(path).where(F.col(video).isNotNull())
+    rest = [c for c in d.columns if c != video]
+    return d.groupBy(video).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct(start, *(c for c in rest if c != start)))).alias("segments"))
+
+
 def write_jsonl(df: DataFrame, path: str, split: str | None = None) -> None:
     """JSON lines, one folder per value of ``split``; the committer makes the result appear whole or not at all."""
     w = df.write.mode("error")
@@ -161,18 +220,20 @@ class _ZipReader(DataSourceReader):
 
         out: list[InputPartition] = []
         for p in self.paths:
-            with zipfile.ZipFile(p) as z:
+            at, inner = filesystem(p)
+            with at.open_input_file(inner) as f, zipfile.ZipFile(f) as z:
                 m = [(i.filename, i.header_offset, i.compress_size, i.compress_type, i.file_size) for i in z.infolist() if not i.is_dir() and fnmatch.fnmatch(i.filename, self.pattern)]
             m.sort(key=lambda x: x[1])
             out += [_Range(p, m[k : k + self.per]) for k in range(0, len(m), self.per)]
         return out
 
     def read(self, part):
-        with open(part.path, "rb") as f:
+        where, inner = filesystem(part.path)
+        with where.open_input_file(inner) as f:
             for name, at, packed, how, size in part.members:
                 f.seek(at + 26)
                 n, extra = struct.unpack("<HH", f.read(4))
-                f.seek(n + extra, io.SEEK_CUR)
+                f.seek(at + 30 + n + extra)
                 data = f.read(packed)
                 yield part.path, name, size, zlib.decompress(data, -15) if how == 8 else data
 
