@@ -32,6 +32,12 @@ def normalised(dist: Column) -> Column:
     return both
 
 
+def aligned(options: Column, gold: Column) -> Column:
+    """The gold's probabilities in the order of the options, over their sum; null where nothing of the gold is offered."""
+    raw = F.transform(options, lambda o: p_of(gold, o))
+    return let(F.struct(raw.alias("r"), F.aggregate(raw, F.lit(0.0), lambda s, x: s + x).alias("t")), lambda x: F.when(x["t"] > 0, F.transform(x["r"], lambda v: v / x["t"])))
+
+
 def nll(gold: Column, probs: Column, floor: float = 1e-12) -> Column:
     """Cross entropy against a soft gold: gold terms above zero only, probabilities floored."""
     return F.aggregate(gold, F.lit(0.0), lambda s, g: s - F.when(g["p"] > 0, g["p"] * F.log(F.greatest(p_of(probs, g["key"]), F.lit(floor)))).otherwise(0.0))

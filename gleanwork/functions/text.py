@@ -274,6 +274,20 @@ def count_options(n: Column, low: int = 0, high: int = 10, around: int = 1) -> C
     return F.transform(F.sequence(F.greatest(n - around, F.lit(low)), F.least(n + around, F.lit(high))), lambda x: x.cast("string"))
 
 
+def count_run(n: Column, length: Column, u: Column, top: int = 10) -> Column:
+    """``length`` neighbouring counts from 0 to ``top`` as text with ``n`` among them, its place given by ``u`` in [0, 1);
+    null where ``n`` is beyond the counts."""
+    low = F.greatest(F.lit(0), n - length + 1)
+    high = F.least(n, F.lit(top) - length + 1)
+    start = (low + F.floor(u * (high - low + 1))).cast("int")
+    return F.when((n >= 0) & (n <= top), F.transform(F.sequence(start, start + length - 1), lambda x: x.cast("string")))
+
+
+def count_bucket(n: Column) -> Column:
+    """The stratum of a count."""
+    return F.when(n <= 1, n.cast("string")).when(n <= 3, "2-3").when(n <= 6, "4-6").when(n.isNotNull(), "7+")
+
+
 def placed(gold: Column, others: Column, slot: Column) -> Column:
     """``gold`` put among the distractors at ``slot`` modulo the number of places."""
     at = (F.pmod(slot, F.size(others) + 1) + 1).cast("int")

@@ -110,3 +110,33 @@ def swapped_caption(caption: Column, pairs: dict[str, str]) -> Column:
 def fresh_first(df: DataFrame, used: str, quota: int, key: Column, tie: list[str]) -> DataFrame:
     """``quota`` rows, those not used before first, each kind in hash order."""
     return df.withColumn("_h", key).orderBy(F.col(used).cast("int"), "_h", *tie).limit(quota).drop("_h")
+
+
+def matched_frequency(df: DataFrame, pool: str, answer: str, ratios: tuple[float, ...] = (2.0, 4.0), side: int = 2) -> DataFrame:
+    """(pool, answer, ratio, others): the answers near in frequency by the first of ``ratios`` that gives any; answers for which none does are left out."""
+    out = near_frequency(df, pool, answer, ratios[0], side).withColumn("ratio", F.lit(ratios[0]))
+    for r in ratios[1:]:
+        wider = near_frequency(df, pool, answer, r, side).select(F.col(pool).alias("_p"), F.col(answer).alias("_a"), F.col("others").alias("_o"))
+        out = out.join(wider, F.col(pool).eqNullSafe(F.col("_p")) & (F.col(answer) == F.col("_a")), "left")
+        none = F.size("others") == 0
+        out = out.withColumn("ratio", F.when(none, F.lit(r)).otherwise(F.col("ratio"))).withColumn("others", F.when(none, F.coalesce("_o", "others")).otherwise(F.col("others"))).drop("_p", "_a", "_o")
+    return out.where("size(others) > 0").select(pool, answer, "ratio", "others")
+
+
+def finest_pool(df: DataFrame, fine: str, coarse: str, answer: str, least: int = 8) -> DataFrame:
+    """``df`` with ``pool``: the fine pool of a row if it has ``least`` different answers, else the coarse one."""
+    n = df.where(F.col(answer).isNotNull()).groupBy(F.col(fine).alias("_f")).agg((F.count_distinct(answer) >= least).alias("_many"))
+    return df.join(n, F.col(fine).eqNullSafe(F.col("_f")), "left").withColumn("pool", F.when(F.col("_many"), F.col(fine)).otherwise(F.col(coarse))).drop("_f", "_many")
+
+
+def negative_captions(df: DataFrame, picture: str, caption: str, pairs: dict[str, str]) -> DataFrame:
+    """(picture, caption, negative): captions with one word swapped for its partner that no caption of the same picture says."""
+    d = df.where(F.col(picture).isNotNull() & F.col(caption).isNotNull()).select(picture, caption).distinct()
+    n = d.withColumn("negative", swapped_caption(F.col(caption), pairs)).where("negative is not null")
+    return n.join(d.select(picture, F.col(caption).alias("negative")), [picture, "negative"], "left_anti").select(picture, caption, "negative")
+
+
+def unambiguous(df: DataFrame, picture: str, phrase: str, thing: str) -> DataFrame:
+    """(picture, phrase, thing) of phrases that name one thing of their picture."""
+    d = df.where(F.col(picture).isNotNull() & F.col(phrase).isNotNull())
+    return d.groupBy(picture, phrase).agg(F.min(thing).alias(thing), F.max(thing).alias("_z")).where(F.col(thing) == F.col("_z")).drop("_z")

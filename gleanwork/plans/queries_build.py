@@ -549,3 +549,153 @@ def closer_of_two(spark, folder):
     at = lambda x, z: G.backprojected(x, F.lit(200.0), z, F.lit(560.0), F.lit(400.0))
     c = G.closer_of_two(G.box(F.lit(0), F.lit(0), F.lit(0), F.lit(0)).withField("z", F.lit(10.0)), at(F.col("l_partkey") % 500, F.col("l_quantity")), at(F.col("l_suppkey") % 300, F.col("l_discount") * 100), 1.3, 1.0)
     return table(spark, folder, "lineitem").groupBy(c.alias("closer")).agg(F.count("*").alias("n"))
+
+
+# Converting, voting, mixing
+
+
+@query("question_items", f"""select run_id, sample_id, asked_at, loaded_at, list_transform(a, lambda x: round(x / nullif(list_sum(a), 0), 6)) as gold
+from (select *, list_transform(options, lambda o: coalesce(list_filter(gold, lambda e: e.key = o)[-1].p, 0)) as a from eval_records) where list_sum(a) > 0""")
+def question_items(spark, folder):
+    g = P.aligned(F.col("options"), F.col("gold"))
+    d = records(spark, folder).select("run_id", "sample_id", "asked_at", "loaded_at", g.alias("gold")).where("gold is not null")
+    return d.withColumn("gold", F.transform("gold", lambda x: F.round(x, 6)))
+
+
+@query("converted_questions", f"""with d as (select rec_no, kind as g, {_ARG} as a from train), u as (select distinct g, a from d where g is not null and a is not null), e as (select g, a, {h('conv', 'a')} as h from u),
+s as (select g, a, coalesce(lead(a) over (partition by g order by h, a), first_value(a) over (partition by g order by h, a rows between unbounded preceding and unbounded following)) as o from e)
+select rec_no, case when d.a in ('true', 'false') then 'noul' else 'choice' end as type, case when d.a in ('true', 'false') then ['false', 'true'] when {h('side', 'rec_no')} < '8' then [d.a, o] else [o, d.a] end as options, d.a as gold from d join s on s.g = d.g and s.a = d.a where d.a in ('true', 'false') or o <> d.a""")
+def converted_questions(spark, folder):
+    """Yes/no rows as they are, others as a choice between the answer and the next one of its kind."""
+    r = gold_rows(spark, folder)
+    s = distract.siblings(r, "kind", "answer", hash_key("conv", "answer"))
+    yes = F.col("answer").isin("true", "false")
+    two = F.when(hash_key("side", "rec_no") < "8", F.array("answer", "sibling")).otherwise(F.array("sibling", "answer"))
+    options = F.when(yes, F.array(F.lit("false"), F.lit("true"))).otherwise(two)
+    return r.join(s, ["kind", "answer"]).where(yes | (F.col("sibling") != F.col("answer"))).select("rec_no", F.when(yes, "noul").otherwise("choice").alias("type"), options.alias("options"), F.col("answer").alias("gold"))
+
+
+@query("vote_labels", "select sample_id, qid, count(*) as votes, round(avg((prediction = 'true')::int), 4) as p_true from eval_records where prediction in ('true', 'false') group by all having count(*) >= 2")
+def vote_labels(spark, folder):
+    """Answers of one question as votes: a soft label where there are two or more."""
+    v = records(spark, folder).where("prediction in ('true', 'false')").groupBy("sample_id", "qid").agg(F.count("*").alias("votes"), F.avg((F.col("prediction") == "true").cast("double")).alias("p_true"))
+    return v.where("votes >= 2").withColumn("p_true", F.round("p_true", 4))
+
+
+_U = lambda salt, x: f"('0x' || substr({h(salt, x)}, 1, 8))::bigint / 4294967296.0"
+
+
+@query("count_runs", f"""with n as (select rec_no, {_NUM(_ARG)} as n, 3 + floor({_U('len', 'rec_no')} * 3)::int as k, {_U('run', 'rec_no')} as u from train where kind = 'count'), s as (select *, greatest(0, n - k + 1) as lo, least(n, 10 - k + 1) as hi from n where n is not null),
+r as (select rec_no, n, k, (lo + floor(u * (hi - lo + 1)))::int as s from s where n between 0 and 10) select rec_no, list_transform(range(s, s + k), lambda x: x::varchar) as options, case when n <= 1 then n::varchar when n <= 3 then '2-3' when n <= 6 then '4-6' else '7+' end as bucket from r""")
+def count_runs(spark, folder):
+    n = gold_rows(spark, folder).where("kind = 'count'").select("rec_no", X.whole_number(F.col("answer")).alias("n"))
+    length = (F.lit(3) + F.floor(unit(hash_key("len", "rec_no")) * 3)).cast("int")
+    d = n.select("rec_no", X.count_run(F.col("n"), length, unit(hash_key("run", "rec_no"))).alias("options"), X.count_bucket(F.col("n")).alias("bucket"))
+    return d.where("options is not null")
+
+
+@query("unambiguous_phrases", "with c as (select image_id, unnest(captions) as caption, id from captions where image_id is not null) select image_id, caption, min(id) as id from c where caption is not null group by image_id, caption having min(id) = max(id)")
+def unambiguous_phrases(spark, folder):
+    c = table(spark, folder, "captions").select("image_id", "id", F.explode("captions").alias("caption"))
+    return distract.unambiguous(c, "image_id", "caption", "id")
+
+
+_SWAPS = {"black": "white", "red": "green", "blue": "yellow", "orange": "purple", "pink": "silver"}
+_BOTH = {**_SWAPS, **{v: k for k, v in _SWAPS.items()}}
+_PARTNER = lambda w: "case " + " ".join(f"when {w} = '{a}' then '{b}'" for a, b in _BOTH.items()) + " end"
+
+
+@query("negative_captions", f"""with d as (select distinct image_id, caption from (select image_id, unnest(captions) as caption from captions) where image_id is not null and caption is not null), w as (select *, string_split(caption, ' ') as ws from d),
+p as (select *, list_position(list_transform(ws, lambda w: ({_PARTNER('w')}) is not null), true) as place from w), n as (select image_id, caption, array_to_string(list_transform(ws, lambda w, i: case when i = place then {_PARTNER('w')} else w end), ' ') as negative from p where place > 0)
+select * from n where not exists (select 1 from d where d.image_id = n.image_id and d.caption = n.negative)""")
+def negative_captions(spark, folder):
+    c = table(spark, folder, "captions").select("image_id", F.explode("captions").alias("caption"))
+    return distract.negative_captions(c, "image_id", "caption", _SWAPS)
+
+
+@query("pools_in_use", f"""with d as (select kind, kind || ':' || array_to_string(list_slice(string_split({_WORDING}, ' '), 1, 4), ' ') as fine, {_ARG} as a from train), n as (select fine, count(distinct a) >= 8 as many from d where a is not null group by fine)
+select case when many then d.fine else kind end as pool, count(*) as n from d left join n on d.fine is not distinct from n.fine group by 1""")
+def pools_in_use(spark, folder):
+    d = gold_rows(spark, folder).select("kind", "answer", F.concat("kind", F.lit(":"), X.wording_prefix(F.col("instructions"), 4)).alias("fine"))
+    return distract.finest_pool(d, "fine", "kind", "answer").groupBy("pool").agg(F.count("*").alias("n"))
+
+
+@query("matched_frequency", f"""with d as (select kind, {_ARG} as a from train), c as (select kind, a, count(*) as n from d where a is not null group by all), r as (select *, row_number() over (partition by kind order by n desc, a) as r from c),
+p as (select x.kind as kind, x.a as answer, x.n as n, y.a as other, greatest(x.n, y.n)::double / least(x.n, y.n) as q from r x join r y on x.kind is not distinct from y.kind and y.r <> x.r and y.r between x.r - 2 and x.r + 2),
+b as (select kind, answer, case when min(q) <= 2 then 2.0::double when min(q) <= 4 then 4.0::double end as ratio from p group by all)
+select b.kind as kind, b.answer as answer, b.ratio as ratio, list(other order by other) as others from b join p on p.kind is not distinct from b.kind and p.answer = b.answer and p.q <= b.ratio where b.ratio is not null group by b.kind, b.answer, b.ratio""")
+def matched_frequency(spark, folder):
+    return distract.matched_frequency(gold_rows(spark, folder).select("kind", "answer"), "kind", "answer")
+
+
+@query("family_deltas", f"""with {_LAST}, f as (select kind, image_id, avg(cb::int - ca::int) as d, avg((pa <> pb)::int) as c from p where image_id is not null group by all)
+select kind, count(*) as families, round(avg(d), 6) as delta, round(avg(c), 6) as changed from f group by kind""")
+def family_deltas(spark, folder):
+    """Differences first inside each picture, then over pictures, so that a picture of many questions counts once."""
+    p = run_pairs(spark, folder).where("image_id_b is not null")
+    f = p.groupBy(F.col("kind_b").alias("kind"), "image_id_b").agg(F.avg(F.col("correct_b").cast("int") - F.col("correct_a").cast("int")).alias("d"), F.avg((F.col("prediction_a") != F.col("prediction_b")).cast("int")).alias("c"))
+    return rounded(f.groupBy("kind").agg(F.count("*").alias("families"), F.avg("d").alias("delta"), F.avg("c").alias("changed")), "delta", "changed")
+
+
+@query("flattened_wordings", f"""with d as (select rec_no, {_WORDING} as w, {_ARG} as a, {h('fw', 'rec_no')} as h from train), c as (select w, a, count(*) as n from d group by all), t as (select w, list_reverse_sort(list(n)) as ns, sum(n) as s from c group by w),
+k as (select w, case when s < 5 then s else coalesce(ns[2], 1) end as cap from t), x as (select d.*, cap, row_number() over (partition by d.w, a order by h, rec_no) as r from d join k on d.w is not distinct from k.w), y as (select rec_no, a, h from x where r <= cap),
+m as (select greatest(1, floor(2.0 * sum(n) / count(*))::bigint) as cap from (select a, count(*) as n from y group by a)), z as (select a, row_number() over (partition by a order by h, rec_no) as r from y) select a as answer, count(*) as n from z, m where r <= cap group by a""")
+def flattened_wordings(spark, folder):
+    """No answer of a wording more often than its second, then no answer at all beyond twice the mean."""
+    d = gold_rows(spark, folder).select("rec_no", X.norm(F.col("instructions")).alias("w"), "answer").withColumn("h", hash_key("fw", "rec_no"))
+    out = balance.flatten_answers(balance.flatten_top(d, "w", "answer", "h", ["rec_no"]), "answer", "h", ["rec_no"])
+    return out.groupBy("answer").agg(F.count("*").alias("n"))
+
+
+@query("rounds_of_kinds", f"""with d as (select rec_no, kind, {_ARG} as a, {h('rk', 'rec_no')} as h from train where kind is not null), n as (select kind, least(count_if(a = 'true'), count_if(a = 'false')) as cap from d where a in ('true', 'false') group by kind),
+b as (select d.rec_no, d.kind, d.h from (select *, row_number() over (partition by kind, a order by h, rec_no) as r from d where a in ('true', 'false')) d join n using (kind) where r <= cap union all select rec_no, kind, h from d where a not in ('true', 'false') or a is null),
+t as (select *, row_number() over (partition by kind order by h, rec_no) as t from b) select kind, count(*) as n from (select * from t where t <= 200 order by t, kind, h, rec_no limit 200) group by kind""")
+def rounds_of_kinds(spark, folder):
+    """Yes and no made even, then kinds taken in turn up to 200 rows."""
+    d = gold_rows(spark, folder).where("kind is not null").select("rec_no", "kind", "answer").withColumn("h", hash_key("rk", "rec_no"))
+    even = balance.drop_surplus(d, ["kind"], "answer", ("true", "false"), "h", ["rec_no"])
+    return balance.round_robin(even, "kind", 200, ["h", "rec_no"]).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query("priority_picks", f"""with d as (select rec_no, image_id, case kind when 'spatial' then 0 when 'color' then 1 else 2 end as p, {h('pp', 'rec_no')} as h from train where image_id is not null), r as (select *, row_number() over (partition by image_id order by p, h, rec_no) as r from d)
+select rec_no, p as priority from r where r <= 3 order by p, h, rec_no limit 300""")
+def priority_picks(spark, folder):
+    """Kinds by priority, at most three rows a picture, the first 300."""
+    p = F.when(F.col("kind") == "spatial", 0).when(F.col("kind") == "color", 1).otherwise(2)
+    d = table(spark, folder, "train").where("image_id is not null").select("rec_no", "image_id", p.alias("priority"), hash_key("pp", "rec_no").alias("h"))
+    return balance.cap_per(d, ["image_id"], 3, ["priority", "h", "rec_no"]).orderBy("priority", "h", "rec_no").limit(300).select("rec_no", "priority")
+
+
+@query("replay_mix", f"""with d as (select rec_no, kind, {_ARG} as a, {h('rm', 'rec_no')} as h from train), b as (select 'base' as origin, kind from d where kind = 'reading'), r as (select kind, row_number() over (partition by a order by h, rec_no) as r from d where kind is distinct from 'reading' and a in ('true', 'false'))
+select origin, kind, count(*) as n from (select * from b union all select 'replay', kind from r where r <= 100) group by all""")
+def replay_mix(spark, folder):
+    """One kind whole, and of the others as many yes as no."""
+    d = gold_rows(spark, folder).select("rec_no", "kind", "answer").withColumn("h", hash_key("rm", "rec_no"))
+    rest = d.where(~F.col("kind").eqNullSafe(F.lit("reading")) & F.col("answer").isin("true", "false"))
+    caps = rest.select("answer").distinct().withColumn("cap", F.lit(100))
+    both = d.where("kind = 'reading'").select(F.lit("base").alias("origin"), "kind").unionByName(balance.first_by_cell(rest, ["answer"], caps, "h", ["rec_no"]).select(F.lit("replay").alias("origin"), "kind"))
+    return both.groupBy("origin", "kind").agg(F.count("*").alias("n"))
+
+
+@query("smallest_threshold", """with t as (select unnest([0.0::double, 0.2::double, 0.4::double, 0.5::double, 0.6::double, 0.7::double, 0.8::double]) as t), s as (select run_id, t, avg((p_prediction >= t)::int) as c, avg(case when p_prediction >= t then (prediction = gold_answer)::int end) as a from eval_records, t group by all),
+z as (select run_id, a as a0 from s where t = 0) select s.run_id as run_id, min(t) as threshold from s join z using (run_id) where c >= 0.3 and a >= a0 + 0.01 group by s.run_id""")
+def smallest_threshold(spark, folder):
+    """The lowest threshold that keeps three in ten answers and gains a point of accuracy over all of them."""
+    s = metrics.thresholds(records(spark, folder), (0.0, 0.2, 0.4, 0.5, 0.6, 0.7, 0.8))
+    z = s.where("threshold = 0").select("run_id", F.col("accuracy").alias("_a"))
+    return s.join(z, "run_id").where("coverage >= 0.3 and accuracy >= _a + 0.01").groupBy("run_id").agg(F.min("threshold").alias("threshold"))
+
+
+@query("question_agreement", """with g as (select sample_id, qid, count(distinct run_id) as runs, count(distinct list_sort(options)) as o, count(distinct gold_answer) as g, count(distinct coalesce(image_id, '')) as i from eval_records where control is null group by all)
+select runs, o = 1 as same_options, g <= 1 as same_gold, i = 1 as same_picture, count(*) as n from g group by all""")
+def question_agreement(spark, folder):
+    """Whether all answers to a question were given the same options, gold and picture, in one run or both."""
+    g = records(spark, folder).where("control is null").groupBy("sample_id", "qid").agg(F.count_distinct("run_id").alias("runs"), F.count_distinct(F.sort_array("options")).alias("o"), F.count_distinct("gold_answer").alias("g"), F.count_distinct(F.coalesce("image_id", F.lit(""))).alias("i"))
+    return g.groupBy("runs", (F.col("o") == 1).alias("same_options"), (F.col("g") <= 1).alias("same_gold"), (F.col("i") == 1).alias("same_picture")).agg(F.count("*").alias("n"))
+
+
+@query("whole_scenes", "with o as (select l_orderkey, bool_and(l_quantity >= 5) as big, count(distinct l_partkey) as parts from lineitem group by l_orderkey) select big, parts, count(*) as n from o group by all")
+def whole_scenes(spark, folder):
+    """Scenes all of whose things are big enough."""
+    o = table(spark, folder, "lineitem").groupBy("l_orderkey").agg(F.bool_and(F.col("l_quantity") >= 5).alias("big"), F.count_distinct("l_partkey").alias("parts"))
+    return o.groupBy("big", "parts").agg(F.count("*").alias("n"))
