@@ -169,11 +169,12 @@ def learnt_phrases(wordings: DataFrame) -> tuple[list[str], list[str]]:
         struct('lead' as end, slice(ws, 1, i) as phrase, slice(ws, i + 1, size(ws)) as rest), struct('tail' as end, slice(ws, size(ws) - i + 1, i) as phrase, slice(ws, 1, size(ws) - i) as rest)))))""")
     cuts = w.where("size(ws) > 1").select(ends.alias("e")).select("e.end", F.array_join("e.phrase", " ").alias("phrase"), F.xxhash64(F.array_join("e.rest", " ")).alias("h"), F.get("e.rest", F.lit(0)).alias("opening"))
     least = max(PHRASE_LEAST, int(PHRASE_SHARE * w.count()))
-    often = cut(cuts.groupBy("end", "phrase").agg(F.count("*").alias("n")).where(F.col("n") >= least))
+    often = cut(cuts.groupBy("end", "phrase").agg(F.count("*").alias("n")).where(F.col("n") >= least).withColumn("id", F.monotonically_increasing_id()))
     there = w.select(F.xxhash64("s").alias("h")).distinct()
-    alone = cuts.join(small_side(often), ["end", "phrase"]).join(there, "h", "left_semi")
-    kept = alone.groupBy("end", "phrase", "n", "opening").agg(F.count("*").alias("k")).groupBy("end", "phrase", "n").agg(F.sum("k").alias("k"), F.count("*").alias("openings"))
-    found = kept.where((F.col("k") >= F.col("n") * PHRASE_ATTESTED) & (F.col("openings") >= PHRASE_OPENINGS)).select("end", "phrase").collect()
+    # Only numbers are shuffled: of the phrase, of what is left without it, and of its first word.
+    alone = cuts.join(small_side(often), ["end", "phrase"]).select("id", "h", F.xxhash64("opening").alias("opening")).join(there, "h", "left_semi")
+    kept = alone.groupBy("id", "opening").agg(F.count("*").alias("k")).groupBy("id").agg(F.sum("k").alias("k"), F.count("*").alias("openings"))
+    found = often.join(kept, "id").where((F.col("k") >= F.col("n") * PHRASE_ATTESTED) & (F.col("openings") >= PHRASE_OPENINGS)).select("end", "phrase").collect()
     sides = [[r.phrase for r in found if r.end == e] for e in ("lead", "tail")]
     mine = sorted({x for side in sides for p in side for x in p.split(" ")})
     if not mine:
@@ -294,21 +295,28 @@ def overlaps(train: DataFrame, held: DataFrame, alias: DataFrame, threshold: flo
     want = ("rec_no", "source", "image_id", "instructions")
     both = train.select(*want, F.lit(True).alias("train")).unionByName(held.select(*want, F.lit(False).alias("train")))
     rows = with_picture(both, alias).select("rec_no", "train", "picture", folded(train.sparkSession, F.col("instructions")).alias("text"))
-    rows = cut(rows.where("rec_no is not null and picture is not null and text is not null"))
-    wordings = cut(rows.select("picture", "text").distinct().groupBy("text").agg(F.count("*").alias("n")))
-    table = cut(core_table(wordings, leads, tails))
-    rows = cut(rows.join(small_side(table), "text").select("rec_no", "train", "picture", "core"))
-    # A core on a picture is one class, however many rows ask it; only pictures of both sides go on.
-    classes = cut(rows.groupBy("picture", "core").agg(F.max("train").alias("in_train"), F.max(~F.col("train")).alias("in_held")))
-    cores = classes.groupBy("core").agg(F.count("*").alias("n"))
+    # Wordings are shuffled by a hash of 128 bits; their text moves once per wording and task.
+    rows = cut(rows.where("rec_no is not null and picture is not null and text is not null").withColumn("key", F.unhex(F.md5("text"))))
+    both_in = lambda: (F.max("in_train").alias("in_train"), F.max("in_held").alias("in_held"))
+    sides = rows.select("picture", "key", F.col("train").alias("in_train"), (~F.col("train")).alias("in_held"))
+    asked = cut(sides.groupBy("picture", "key").agg(*both_in()))
+    per = asked.groupBy("key").agg(F.count("*").alias("n"))
+    wordings = cut(rows.groupBy("key").agg(F.first("text").alias("text")).join(per, "key"))
+    table = small_side(cut(core_table(wordings, leads, tails).select(F.unhex(F.md5("text")).alias("key"), "core")))
+    # A core on a picture is one class, however many rows ask it; counts are over all, only pictures of both sides go on.
+    classes = cut(asked.join(table, "key").groupBy("picture", "core").agg(*both_in()))
+    cores = cut(classes.groupBy("core").agg(F.count("*").alias("n")))
+    shared = asked.groupBy("picture").agg(*both_in()).where("in_train and in_held").select("picture")
+    shared = small_side(cut(shared))
+    classes = cut(classes.join(shared, "picture", "left_semi"))
+    rows = cut(rows.drop("text").join(shared, "picture", "left_semi").join(table, "key").select("rec_no", "train", "picture", "core"))
     vectors = cut(core_vectors(cores, threshold))
-    shared = classes.groupBy("picture").agg(F.max("in_train").alias("t"), F.max("in_held").alias("h")).where("t and h").select("picture")
     heads = small_side(vectors.select("core", "heads"))
-    listed = classes.join(shared, "picture", "left_semi").join(heads, "core").select("picture", "core", "in_train", "in_held", F.explode("heads").alias("word"))
+    listed = classes.join(heads, "core").select("picture", "core", "in_train", "in_held", F.explode("heads").alias("word"))
     left = listed.where("in_train").select("picture", "word", F.col("core").alias("a"))
     right = listed.where("in_held").select("picture", "word", F.col("core").alias("b"))
     words = cut(cores.select("n", F.explode(F.array_distinct(F.split("core", " "))).alias("word")).groupBy("word").agg(F.sum("n").alias("n")))
-    slips = slip_candidates(classes.join(shared, "picture", "left_semi"), words)
+    slips = slip_candidates(classes, words)
     candidates = cut(_paired_lists(left, right).unionByName(slips).distinct())
     # Similarity depends on the two cores only: each pair of them is worked out once.
     pairs = candidates.where("a <> b").select("a", "b").distinct()
