@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleanwork.operators.balance import first_by_cell
+from gleanwork.operators.metrics import quantiles
 from gleanwork.operators.ordered import hash_key
+from gleanwork.plans.lineage import cut
 
 
 def fold(key: str, n: int = 2):
@@ -44,10 +46,12 @@ def accuracy(scores: DataFrame, label: str) -> DataFrame:
 def debias(scores: DataFrame, key: str, label: str, bins: int = 20, salt: str = "debias") -> DataFrame:
     """Equally many true and false rows in each of ``bins`` bins of the score, in hash order.
 
-    Bin edges are approximate quantiles of the scores, so that no global order is needed, and 0, so that no
-    bin holds rows of both guesses.
+    Bin edges are exact quantiles of the scores, found without a global order, and 0, so that no
+    bin holds rows of both guesses. Scores are rounded to nine digits, so that equal texts share a bin
+    whatever the order of their sums.
     """
-    edges = scores.agg(F.percentile_approx("score", [i / bins for i in range(1, bins)], 10000).alias("e")).first().e or []
+    scores = cut(scores.withColumn("score", F.round("score", 9)))
+    edges = [x for x in quantiles(scores, "score", [], [i / bins for i in range(1, bins)], discrete=True).first() or () if x is not None]
     edges = sorted({*edges, 0.0})
     d = scores.withColumn("bin", F.aggregate(F.array(*map(F.lit, edges)), F.lit(0), lambda a, e: a + F.when(F.col("score") > e, 1).otherwise(0)))
     c = d.groupBy("bin").agg(F.least(F.count_if(F.col(label)), F.count_if(~F.col(label))).alias("cap"))

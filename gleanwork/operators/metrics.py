@@ -85,8 +85,9 @@ def confusion(records: DataFrame, by: list[str]) -> DataFrame:
     return c.withColumn("f1", F.coalesce(F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")), F.lit(0.0)))
 
 
-def quantiles(df: DataFrame, value: str, by: list[str], at: list[float], digits: int = 3) -> DataFrame:
-    """(by..., q0, q1, ...): exact interpolated quantiles of the values that are there, without a buffer of all values.
+def quantiles(df: DataFrame, value: str, by: list[str], at: list[float], digits: int = 3, discrete: bool = False) -> DataFrame:
+    """(by..., q0, q1, ...): exact interpolated quantiles of the values that are there, without a buffer of all values;
+    ``discrete``: the least value that at least that part of them does not exceed.
 
     Values are counted in buckets of ``digits`` significant digits, the buckets that hold the wanted ranks
     are found in the running counts, and only the values of those buckets (at most 9 x 10^(digits - 1) buckets
@@ -98,7 +99,7 @@ def quantiles(df: DataFrame, value: str, by: list[str], at: list[float], digits:
     there = there.withColumn("_b", F.when(F.col("_v") == 0, 0.0).otherwise(F.floor(F.col("_v") * scale) / scale))
     counts = there.groupBy(*by, "_b").agg(F.count("*").alias("_n"))
     counts = counts.withColumn("_before", F.sum("_n").over(Window.partitionBy(*by).orderBy("_b")) - F.col("_n")).withColumn("_all", F.sum("_n").over(Window.partitionBy(*by)))
-    ranks = [f((F.col("_all") - 1) * F.lit(q)).cast("bigint") for q in at for f in (F.floor, F.ceil)]
+    ranks = [(F.greatest(F.ceil(F.col("_all") * F.lit(q)), F.lit(1)) - 1 if discrete else f((F.col("_all") - 1) * F.lit(q))).cast("bigint") for q in at for f in (F.floor, F.ceil)]
     holds = lambda r, n: (F.col("_before") <= r) & (r < F.col("_before") + F.col(n))
     hot = counts.where(reduce(lambda x, y: x | y, (holds(r, "_n") for r in ranks)))
     met = lambda a, b: reduce(lambda x, y: x & y, (F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in by), F.lit(True))

@@ -136,7 +136,9 @@ def nb_text_baseline(spark, folder):
     return bayes.accuracy(bayes.cross_scores(noul_rows(spark, folder), "rec_no", "yes", "f"), "yes").withColumn("accuracy", F.round("accuracy", 6))
 
 
-@query("nb_debias")
+@query("nb_debias", f"""with {_NB}, rs as (select rec_no, yes, round(score, 9) as s from scores), q as (select quantile_disc(s, list_transform(range(1, 20), lambda i: i / 20.0::double)) as e from rs), es as (select list_sort(list_distinct(list_append(e, 0.0::double))) as edges from q),
+bs as (select rec_no, yes, len(list_filter(edges, lambda x: s > x))::int as bin from rs, es), cs as (select bin, least(count_if(yes), count_if(not yes)) as cap from bs group by bin),
+ks as (select bs.*, cap, row_number() over (partition by bs.bin, yes order by md5('debias|' || rec_no), rec_no) as r from bs join cs using (bin)) select rec_no, yes, bin from ks where r <= cap""")
 def nb_debias(spark, folder):
     return bayes.debias(bayes.cross_scores(noul_rows(spark, folder), "rec_no", "yes", "f"), "rec_no", "yes").select("rec_no", "yes", "bin")
 
