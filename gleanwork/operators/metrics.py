@@ -99,13 +99,20 @@ def quantiles(df: DataFrame, value: str, by: list[str], at: list[float], digits:
     there = there.withColumn("_b", F.when(F.col("_v") == 0, 0.0).otherwise(F.floor(F.col("_v") * scale) / scale))
     counts = there.groupBy(*by, "_b").agg(F.count("*").alias("_n"))
     counts = counts.withColumn("_before", F.sum("_n").over(Window.partitionBy(*by).orderBy("_b")) - F.col("_n")).withColumn("_all", F.sum("_n").over(Window.partitionBy(*by)))
-    ranks = [(F.greatest(F.ceil(F.col("_all") * F.lit(q)), F.lit(1)) - 1 if discrete else f((F.col("_all") - 1) * F.lit(q))).cast("bigint") for q in at for f in (F.floor, F.ceil)]
+    if discrete:
+        ranks = [(F.greatest(F.ceil(F.col("_all") * F.lit(q)), F.lit(1)) - 1).cast("bigint") for q in at]
+    else:
+        ranks = [f((F.col("_all") - 1) * F.lit(q)).cast("bigint") for q in at for f in (F.floor, F.ceil)]
+    # The wanted ranks are worked out once per bucket, as a list.
+    counts = counts.withColumn("_ranks", F.array(*ranks))
     holds = lambda r, n: (F.col("_before") <= r) & (r < F.col("_before") + F.col(n))
-    hot = counts.where(reduce(lambda x, y: x | y, (holds(r, "_n") for r in ranks)))
+    hot = counts.where(F.exists("_ranks", lambda r: holds(r, "_n")))
     met = lambda a, b: reduce(lambda x, y: x & y, (F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in by), F.lit(True))
-    each = there.alias("t").join(hot.alias("h"), met("t", "h") & (F.col("t._b") == F.col("h._b"))).groupBy(*(F.col(f"t.{c}").alias(c) for c in by), F.col("t._b").alias("_b"), F.col("t._v").alias("_v"), F.col("h._before").alias("_start"), F.col("h._all").alias("_all")).agg(F.count("*").alias("_k"))
+    each = there.alias("t").join(hot.alias("h"), met("t", "h") & (F.col("t._b") == F.col("h._b"))).groupBy(*(F.col(f"t.{c}").alias(c) for c in by), F.col("t._b").alias("_b"), F.col("t._v").alias("_v"), F.col("h._before").alias("_start"), F.col("h._all").alias("_all"), F.col("h._ranks").alias("_ranks")).agg(F.count("*").alias("_k"))
     each = each.withColumn("_before", F.col("_start") + F.sum("_k").over(Window.partitionBy(*by, "_b").orderBy("_v")) - F.col("_k"))
-    ends = each.groupBy(*by).agg(*(F.max(F.when(holds(r, "_k"), F.col("_v"))).alias(f"_{i}") for i, r in enumerate(ranks)), F.max("_all").alias("_all"))
+    ends = each.groupBy(*by).agg(*(F.max(F.when(holds(F.get("_ranks", F.lit(i)), "_k"), F.col("_v"))).alias(f"_{i}") for i in range(len(ranks))), F.max("_all").alias("_all"))
+    if discrete:
+        return ends.select(*by, *(F.col(f"_{i}").alias(f"q{i}") for i in range(len(at))))
     part = lambda q: (F.col("_all") - 1) * F.lit(q) - F.floor((F.col("_all") - 1) * F.lit(q))
     return ends.select(*by, *((F.col(f"_{2 * i}") + (F.col(f"_{2 * i + 1}") - F.col(f"_{2 * i}")) * part(q)).alias(f"q{i}") for i, q in enumerate(at)))
 

@@ -9,7 +9,6 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows
 from gleanwork.functions import geometry as G
 from gleanwork.functions import probs as P
 from gleanwork.functions import text as X
@@ -17,6 +16,10 @@ from gleanwork.operators import calibrate, distract, identity, metrics, validate
 from gleanwork.sources import files
 
 
+def rows(df):
+    return sorted(map(tuple, df.collect()), key=lambda r: tuple((x is not None, str(x)) for x in r))
+
+
 def one(spark, *columns):
     return spark.range(1).select(*(c.alias(f"c{i}") for i, c in enumerate(columns))).first()
 
