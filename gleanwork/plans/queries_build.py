@@ -473,7 +473,7 @@ def capped_dev(spark, folder):
 
 @query("same_start", """with x as (select *, row_number() over (partition by kind, sample_id, qid order by loaded_at, asked_at) as o from eval_records where run_id = 'r21' and control is null), y as (select *, row_number() over (partition by kind, sample_id, qid order by loaded_at, asked_at) as o from eval_records where run_id = 'r24' and control is null),
 j as (select coalesce(x.kind, y.kind) as kind, x.sample_id as a, y.sample_id as b, case when x.sample_id is not null and y.sample_id is not null then coalesce(list_max(list_transform(x.probabilities, lambda e: abs(e.p - coalesce(list_filter(y.probabilities, lambda d: d.key = e.key)[-1].p, 0)))), 0) end as far from x full join y on x.kind = y.kind and x.sample_id = y.sample_id and x.qid = y.qid and x.o = y.o)
-select kind, count(far) as n, count_if(b is null)::bigint as only_a, count_if(a is null)::bigint as only_b, count_if(far > 0.3)::bigint as differ, round(max(far), 6) as worst from j group by kind""")
+select kind, count(far) as n, count_if(b is null)::bigint as only_a, count_if(a is null)::bigint as only_b, coalesce(count_if(far > 0.3), 0)::bigint as differ, round(max(far), 6) as worst from j group by kind""")
 def same_start(spark, folder):
     from gleanwork.operators import validate
 
