@@ -165,13 +165,14 @@ def _cell_name(t: Column, c: Column) -> Column:
     return F.concat(t, F.lit("\t"), c)
 
 
-def id_groups(train: DataFrame) -> DataFrame:
-    """(cells, n): how many ids have lines in exactly these categories (a sorted list, empty where in none).
+def id_groups(train: DataFrame, names: list[str]) -> DataFrame:
+    """(cells, n): how many ids have lines in exactly these of the categories ``names`` (a sorted list, empty where in none).
 
     An id's lines are made distinct before the shuffle, so an id that is delivered over and over is
     one row per task; ids are grouped by what they can stand for, and only groups go on.
     """
     cell = _cell_name(F.col("type"), F.col("collection"))
+    cell = F.when(cell.isin(names), cell)
     per_id = _lines(train).groupBy("id").agg(F.sort_array(F.collect_set(cell)).alias("cells"))  # at most one entry per category
     return per_id.groupBy("cells").agg(F.count("*").alias("n"))
 
@@ -213,8 +214,8 @@ class Supply:
         return out
 
 
-def _supply(train: DataFrame) -> Supply:
-    found = id_groups(train).limit(MAX_CELLS + 1).collect()
+def _supply(train: DataFrame, names: list[str]) -> Supply:
+    found = id_groups(train, names).limit(MAX_CELLS + 1).collect()
     if len(found) > MAX_CELLS:
         raise ValueError(f"more than {MAX_CELLS} different sets of categories per id")
     return Supply([(tuple(r.cells), r.n) for r in found])
@@ -231,9 +232,9 @@ def _planned(train: DataFrame, targets: DataFrame, part: float) -> tuple[list[di
     if len(cells) > MAX_CELLS:
         raise ValueError("too many target categories")
     cells.sort(key=lambda r: (r.type, r.collection))
-    supply = _supply(train)
-    size = supply.total * part
     name = lambda r: f"{r.type}\t{r.collection}"
+    supply = _supply(train, sorted({name(r) for r in cells}))
+    size = supply.total * part
     have = [supply.have(name(r)) for r in cells]
     wanted = [max(float(r.min_rows or 0), (r.share or 0.0) * size) for r in cells]
     # Short by the flow itself: served before all others, a category still stops below what is wanted.
@@ -291,7 +292,8 @@ def quota_sample(train: DataFrame, targets: DataFrame, part: float = 0.25, salt:
         stretches.append(("\n".join(supply.groups[i][0]), *c.split("\t"), begin, begin + n))
     plan = spark.createDataFrame(stretches, "cells string, type string, collection string, begin bigint, quota bigint")
     last = F.max(F.struct("loaded_at", "rec_no")).alias("line")
-    per_line = _lines(train).where("type is not null").groupBy("id", "type", "collection").agg(last)
+    wanted = sorted({c for cells, _ in supply.groups for c in cells})
+    per_line = _lines(train).where(_cell_name(F.col("type"), F.col("collection")).isin(wanted)).groupBy("id", "type", "collection").agg(last)
     per_id = per_line.groupBy("id").agg(F.sort_array(F.collect_list(F.struct(_cell_name(F.col("type"), F.col("collection")).alias("cell"), F.col("line.rec_no").alias("rec_no")))).alias("lines"))
     per_id = cut(per_id.select("id", F.array_join("lines.cell", "\n").alias("cells"), "lines"))
     u = unit_hash(F.lit(salt), "id")
