@@ -98,7 +98,9 @@ t as (select least(2000, (select sum(n) from c)) as total), k as (select unnest(
 b as (select kind, n, least(n, level) as q, case when n > level then row_number() over (partition by n > level order by kind) end as rn from c, g), sp as (select total - (select sum(q) from b) as spare from t)
 select kind, n, (q + case when rn is not null and rn <= spare then 1 else 0 end)::bigint as quota from b, sp""")
 def water_fill(spark, folder):
-    c = table(spark, folder, "train").where("kind is not null").groupBy("kind").agg(F.count("*").alias("n")).limit(10_000).collect()  # kinds are named by hand: a few
+    c = table(spark, folder, "train").where("kind is not null").groupBy("kind").agg(F.count("*").alias("n")).limit(10_001).collect()  # kinds are named by hand: a few
+    if len(c) > 10_000:
+        raise ValueError("more than 10,000 kinds")
     q = balance.water_fill({r.kind: r.n for r in c}, 2000)
     return spark.createDataFrame([(r.kind, r.n, q[r.kind]) for r in c], "kind string, n bigint, quota bigint")
 
