@@ -86,6 +86,17 @@ def blended(gold: Column, teacher: Column, weight: float) -> Column:
     return F.transform(gold, lambda e: F.struct(e["key"].alias("key"), (e["p"] * (1 - weight) + P.p_of(teacher, e["key"]) * weight).alias("p")))
 
 
+def with_teacher(rows: DataFrame, teacher: DataFrame, key: list[str], order: list, probs: str = "probabilities", out: str = "teacher", missing: str = "refuse") -> DataFrame:
+    """``rows`` with the last teacher's distribution of their key in ``out``. A row without one is refused, or with ``missing="keep"`` stays with null."""
+    t = last_per_key(teacher, key, order).select(*key, F.col(probs).alias(out))
+    j = rows.join(t, key, "left")
+    if missing == "refuse":
+        lacking = j.where(F.col(out).isNull()).select(*key).limit(20).collect()
+        if lacking:
+            raise ValueError("rows without a teacher: " + ", ".join("/".join(map(str, r)) for r in lacking))
+    return j
+
+
 def mirrored(original: DataFrame, copy: DataFrame, prefix: str, key: str, extra: list[str]) -> DataFrame:
     """Originals with their mirrored copies, whose key is ``prefix`` and the original's key."""
     c = copy.where(F.col(key).startswith(prefix)).select(F.substring(F.col(key), F.lit(len(prefix) + 1), F.lit(1 << 30)).alias(key), *extra, *(F.col(x).alias(f"{x}_m") for x in copy.columns if x != key and x not in extra))

@@ -197,11 +197,13 @@ def order_sensitivity(spark, folder):
 
 
 @query("teacher_blend", f"""with {_RUNS}, t as (select * from (select *, row_number() over (partition by sample_id, qid order by loaded_at desc, asked_at desc) as rn from b) where rn = 1)
-select a.sample_id as sample_id, a.asked_at as asked_at, a.loaded_at as loaded_at, list_transform(a.gold, lambda e: round(e.p * 0.7 + 0.3 * coalesce(list_filter(t.probabilities, lambda x: x.key = e.key)[-1].p, 0), 6)) as p from a join t using (sample_id, qid)""")
+select a.sample_id as sample_id, a.asked_at as asked_at, a.loaded_at as loaded_at, case when t.sample_id is null then list_transform(a.gold, lambda e: round(e.p, 6)) else list_transform(a.gold, lambda e: round(e.p * 0.7 + 0.3 * coalesce(list_filter(t.probabilities, lambda x: x.key = e.key)[-1].p, 0), 6)) end as p from a left join t using (sample_id, qid)""")
 def teacher_blend(spark, folder):
+    """Rows that the teacher did not answer keep their gold."""
     a, b = runs(spark, folder)
-    t = compare.last_per_key(b, compare.KEY, ["loaded_at", "asked_at"]).select(*compare.KEY, F.col("probabilities").alias("t"))
-    return a.join(t, compare.KEY).select("sample_id", "asked_at", "loaded_at", F.transform(compare.blended(F.col("gold"), F.col("t"), 0.3), lambda e: F.round(e["p"], 6)).alias("p"))
+    j = compare.with_teacher(a, b, compare.KEY, ["loaded_at", "asked_at"], out="t", missing="keep")
+    mixed = F.when(F.col("t").isNull(), F.col("gold")).otherwise(compare.blended(F.col("gold"), F.col("t"), 0.3))
+    return j.select("sample_id", "asked_at", "loaded_at", F.transform(mixed, lambda e: F.round(e["p"], 6)).alias("p"))
 
 
 @query("gain_change", """
@@ -213,7 +215,7 @@ def gain_change(spark, folder):
     return rounded(compare.gain_change(r, "run_id", ("r21", "r24"), ["kind", "k"], ["kind"]), "gain_change")
 
 
-GRID = calibrate.log_grid(0.3, 8.0, 60)
+GRID = calibrate.log_grid(0.3, 8.0, 400)
 _FIT = f"""
 with k as (select case when {_KIND} in ('noul', 'yesno') then 'noul' when {_KIND} in ('choice', 'multichoice', 'multiplechoice') then 'choice' else {_KIND} end as clean, options, gold, probabilities from eval_records),
 b as (select case when clean = 'noul' then 'noul:2' when len(options) <= 2 then clean || ':2' when len(options) <= 5 then clean || ':3-5' when len(options) <= 10 then clean || ':6-10' else clean || ':11+' end as bucket, gold, probabilities from k),

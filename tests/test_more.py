@@ -179,3 +179,15 @@ def test_files(spark, tmp_path):
     spark.dataSource.register(files.ZipMembers)
     got = spark.read.format("zip_members").option("path", f"file://{tmp_path}/z.zip").option("perPartition", 2).load()
     assert {r.name: bytes(r.content).decode() for r in got.collect()} == {f"m{i}.txt": f"text {i}" * 50 for i in range(5)}
+
+
+def test_teacher_is_required(spark):
+    from gleanwork.operators import compare
+
+    dist = "array<struct<key:string,p:double>>"
+    a = spark.createDataFrame([("s", "q", [("x", 1.0)]), ("t", "q", [("x", 1.0)])], f"sample_id string, qid string, gold {dist}")
+    t = spark.createDataFrame([("s", "q", [("x", 0.5)], 1), ("s", "q", [("x", 0.25)], 2)], f"sample_id string, qid string, probabilities {dist}, at int")
+    with pytest.raises(ValueError, match="t/q"):
+        compare.with_teacher(a, t, ["sample_id", "qid"], ["at"])
+    kept = {r.sample_id: r.teacher and r.teacher[0].p for r in compare.with_teacher(a, t, ["sample_id", "qid"], ["at"], missing="keep").collect()}
+    assert kept == {"s": 0.25, "t": None}
