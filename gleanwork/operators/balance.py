@@ -157,10 +157,11 @@ def round_robin(df: DataFrame, pool: str, limit: int, order: list) -> DataFrame:
     return d.orderBy("turn", pool, *order).limit(limit)
 
 
-def requests(df: DataFrame, by: list[str], most: int, order: list) -> DataFrame:
-    """Rows of equal ``by`` packed into requests of at most ``most`` rows: columns ``request`` and ``place``."""
-    r = _rank(by, order)
-    return df.withColumn("_r", r).withColumns({"request": F.floor((F.col("_r") - 1) / most).cast("int"), "place": ((F.col("_r") - 1) % most).cast("int")}).drop("_r")
+def requests(df: DataFrame, by: list[str], most: int, key: str, tie: list[str]) -> DataFrame:
+    """Rows of equal ``by`` packed into requests of at most ``most`` rows in the order of the hex ``key``: columns
+    ``request`` and ``place``. Ranks are bucketed, so that the rows without a picture, one group, are many tasks."""
+    d = running_total(df, key, F.lit(1), by, "_b", tie)
+    return d.withColumns({"request": F.floor(F.col("_b") / most).cast("int"), "place": (F.col("_b") % most).cast("int")}).drop("_b")
 
 
 def cap_share(df: DataFrame, what: Column, share: float, key: str, tie: list[str]) -> DataFrame:

@@ -171,10 +171,10 @@ def round_robin(spark, folder):
     return nos(balance.round_robin(t, "kind", 300, ["h", "rec_no"]))
 
 
-@query("request_groups", "select rec_no, floor((rn - 1) / 3)::int as request, ((rn - 1) % 3)::int as place from (select rec_no, row_number() over (partition by image_id, coalesce(state_text, '') order by rec_no) as rn from val)")
+@query("request_groups", "select rec_no, floor((rn - 1) / 3)::int as request, ((rn - 1) % 3)::int as place from (select rec_no, row_number() over (partition by image_id, coalesce(state_text, '') order by md5('req|' || rec_no), rec_no) as rn from val)")
 def request_groups(spark, folder):
     v = table(spark, folder, "val").withColumn("_s", F.coalesce("state_text", F.lit("")))
-    return balance.requests(v, ["image_id", "_s"], 3, ["rec_no"]).select("rec_no", "request", "place")
+    return balance.requests(v.withColumn("h", hash_key("req", "rec_no")), ["image_id", "_s"], 3, "h", ["rec_no"]).select("rec_no", "request", "place")
 
 
 @query("mismatched_pictures", """with p as (select distinct image_id from val where image_id <> ''), o as (select image_id, row_number() over (order by md5('m|' || image_id), image_id) as rn, count(*) over () as n from p)
