@@ -26,8 +26,8 @@ def running_total(df: DataFrame, key: str, weight: Column, by: list[str] = (), o
     only rows of one bucket are ordered together, so a group of any size is spread over many tasks.
     """
     d = df.withColumn("_bucket", F.substring(key, 1, DIGITS)).withColumn("_w", weight)
-    sums = d.groupBy(*by, "_bucket").agg(F.sum("_w").alias("_s"))
-    start = sums.withColumn("_start", F.sum("_s").over(Window.partitionBy(*by).orderBy("_bucket")) - F.col("_s")).drop("_s")
+    sums = d.groupBy(*by, "_bucket").agg(F.sum("_w").alias("_bucket_sum"))
+    start = sums.withColumn("_start", F.sum("_bucket_sum").over(Window.partitionBy(*by).orderBy("_bucket")) - F.col("_bucket_sum")).drop("_bucket_sum")
     same = F.lit(True)
     renamed = start.select(*(F.col(c).alias(f"_k_{c}") for c in by), F.col("_bucket").alias("_k_bucket"), "_start")
     for c in by:
