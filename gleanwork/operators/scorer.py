@@ -91,7 +91,26 @@ def frequency_hash(a: np.ndarray) -> int:
     return int(np.packbits(low > np.median(low[1:])).view(">i8")[0])
 
 
-@F.arrow_udf(T.StructType([T.StructField("pixel_sha", T.StringType()), T.StructField("dhash", T.LongType()), T.StructField("phash", T.LongType()), T.StructField("mirror_dhash", T.LongType())]))
+def letterboxed(a: np.ndarray, size: int, fill: float = 128.0) -> np.ndarray:
+    """A picture (rows, columns, channels or grey) fitted into a square of ``size`` by area means, even margins of ``fill`` around it."""
+    h, w = a.shape[:2]
+    scale = size / max(h, w)
+    nh, nw = max(1, round(h * scale)), max(1, round(w * scale))
+    planes = a[..., None] if a.ndim == 2 else a
+    out = np.full((size, size, planes.shape[2]), float(fill))
+    top, left = (size - nh) // 2, (size - nw) // 2
+    for c in range(planes.shape[2]):
+        out[top : top + nh, left : left + nw, c] = _resized(planes[..., c], nh, nw)
+    return out[..., 0] if a.ndim == 2 else out
+
+
+def view_pixels(a: np.ndarray, views: list[tuple[float, float, float, float]], size: int, fill: float = 128.0) -> np.ndarray:
+    """The views (x, y, w, h in pixels) of a picture, each fitted into a square: one array of views."""
+    cut = lambda x, y, w, h: a[max(0, int(y)) : max(int(y) + 1, int(np.ceil(y + h))), max(0, int(x)) : max(int(x) + 1, int(np.ceil(x + w)))]
+    return np.stack([letterboxed(cut(*v), size, fill) for v in views])
+
+
+@F.arrow_udf(T.StructType([T.StructField("pixel_sha", T.StringType()), T.StructField("dhash", T.LongType()), T.StructField("phash", T.LongType()), T.StructField("mirror_dhash", T.LongType()), T.StructField("mirror_phash", T.LongType())]))
 def pixel_hashes(pixels: pa.Array, width: pa.Array, height: pa.Array) -> pa.Array:
     """Hashes of grey pictures given as bytes row by row; null where the bytes do not fill the size."""
     import hashlib
@@ -102,5 +121,5 @@ def pixel_hashes(pixels: pa.Array, width: pa.Array, height: pa.Array) -> pa.Arra
             out.append(None)
             continue
         a = np.frombuffer(p, np.uint8).reshape(h, w)
-        out.append({"pixel_sha": hashlib.sha256(f"{w}x{h}:".encode() + p).hexdigest(), "dhash": difference_hash(a), "phash": frequency_hash(a), "mirror_dhash": difference_hash(a[:, ::-1])})
-    return pa.array(out, pa.struct([("pixel_sha", pa.string()), ("dhash", pa.int64()), ("phash", pa.int64()), ("mirror_dhash", pa.int64())]))
+        out.append({"pixel_sha": hashlib.sha256(f"{w}x{h}:".encode() + p).hexdigest(), "dhash": difference_hash(a), "phash": frequency_hash(a), "mirror_dhash": difference_hash(a[:, ::-1]), "mirror_phash": frequency_hash(a[:, ::-1])})
+    return pa.array(out, pa.struct([("pixel_sha", pa.string()), ("dhash", pa.int64()), ("phash", pa.int64()), ("mirror_dhash", pa.int64()), ("mirror_phash", pa.int64())]))

@@ -46,10 +46,15 @@ def settle(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     at = f"{checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(at)
+    drop_at_end(spark, at)
+    return spark.read.schema(df.schema).parquet(at)
+
+
+def drop_at_end(spark: SparkSession, folder: str) -> None:
+    """Has ``folder`` deleted when the program ends."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    path = jvm.org.apache.hadoop.fs.Path(at)
+    path = jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(conf).deleteOnExit(path)
-    return spark.read.schema(df.schema).parquet(at)
 
 
 def _width(c: Column, kind: T.DataType) -> Column:

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanwork.plans.lineage import checkpoint_dir
+from gleanwork.plans.lineage import checkpoint_dir, drop_at_end
 
 
 def once(stream: DataFrame, key: list[str], at: str, late: str) -> DataFrame:
@@ -38,9 +38,10 @@ def follow_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def drained(stream: DataFrame) -> DataFrame:
-    """Runs an appending stream over all that is there, into a table in the shared folder, and gives that table."""
+    """Runs an appending stream over all that is there, into a table in the shared folder, and gives that table. It and the stream's state are dropped when the program ends."""
     spark = stream.sparkSession
     at = f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
     q = stream.writeStream.format("parquet").option("checkpointLocation", f"{at}/state").outputMode("append").trigger(availableNow=True).start(f"{at}/rows")
     q.awaitTermination()
+    drop_at_end(spark, at)
     return spark.read.schema(stream.schema).parquet(f"{at}/rows")

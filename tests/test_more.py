@@ -191,3 +191,21 @@ def test_teacher_is_required(spark):
         compare.with_teacher(a, t, ["sample_id", "qid"], ["at"])
     kept = {r.sample_id: r.teacher and r.teacher[0].p for r in compare.with_teacher(a, t, ["sample_id", "qid"], ["at"], missing="keep").collect()}
     assert kept == {"s": 0.25, "t": None}
+
+
+def test_picture_kernels(spark):
+    import numpy as np
+
+    from gleanwork.operators import scorer
+
+    a = np.arange(12 * 6, dtype=float).reshape(6, 12)
+    box = scorer.letterboxed(a, 4, 9.0)
+    assert box.shape == (4, 4) and (box[0] == 9).all() and (box[3] == 9).all() and box[1:3].mean() == pytest.approx(a.mean())
+    assert box[1, 0] == pytest.approx(a[:3, :3].mean()) and scorer.letterboxed(np.dstack([a, a * 2]), 4)[1, 0, 1] == pytest.approx(2 * a[:3, :3].mean())
+    v = scorer.view_pixels(a, [(0, 0, 12, 6), (6, 0, 6, 6)], 4)
+    assert v.shape == (2, 4, 4) and v[1].mean() == pytest.approx(a[:, 6:].mean())
+    rng = np.random.default_rng(1)
+    p = rng.integers(0, 255, (20, 30)).astype(np.uint8)
+    d = spark.createDataFrame([(bytearray(p.tobytes()), 30, 20), (bytearray(np.ascontiguousarray(p[:, ::-1]).tobytes()), 30, 20), (None, 3, 3), (bytearray(b"x"), 3, 3)], "p binary, w int, h int")
+    x, y, *none = [r[0] for r in d.select(scorer.pixel_hashes("p", "w", "h")).collect()]
+    assert (x.dhash, x.phash, x.mirror_dhash, x.mirror_phash) == (y.mirror_dhash, y.mirror_phash, y.dhash, y.phash) and x.pixel_sha != y.pixel_sha and none == [None, None]
