@@ -8,6 +8,8 @@ from dataclasses import dataclass, field
 from pathlib import Path
 
 from pyarrow import fs
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from gleanwork.sources.files import filesystem
 
@@ -84,3 +86,23 @@ def _mark(at, mark: str) -> dict:
         return {}
     with at.open_input_stream(mark) as f:
         return json.loads(f.read())
+
+
+def stage_files(spark: SparkSession, config: dict, roles: tuple[str, ...] = ("train", "eval", "calibration")) -> DataFrame:
+    """(path, role, stage): every file that the steps of a configuration name under one of ``roles``, a text or a list each."""
+    rows = []
+    for name, c in (config.get("steps") or {}).items():
+        for role in roles:
+            given = c.get(role) or []
+            rows += [(p, role, name) for p in ([given] if isinstance(given, str) else given)]
+    return spark.createDataFrame(rows, "path string, role string, stage string")
+
+
+def kept_table(spark: SparkSession, folder: str, sources: DataFrame, make: Callable[[], DataFrame]) -> DataFrame:
+    """The table that ``make`` gives, written under ``folder`` once per signature of ``sources`` (path, length, sha256) and read again
+    as long as they are the same; a part of it left by a run that broke off is written anew."""
+    sign = sources.agg(F.sha2(F.concat_ws(",", F.sort_array(F.collect_list(F.concat_ws(":", "path", "length", "sha256")))), 256).alias("s")).first().s[:16]  # a row per source file
+    at, base = filesystem(folder)
+    if at.get_file_info(f"{base}/{sign}/_SUCCESS").type != fs.FileType.File:
+        make().write.mode("overwrite").parquet(f"{folder}/{sign}")
+    return spark.read.parquet(f"{folder}/{sign}")

@@ -209,3 +209,21 @@ def test_picture_kernels(spark):
     d = spark.createDataFrame([(bytearray(p.tobytes()), 30, 20), (bytearray(np.ascontiguousarray(p[:, ::-1]).tobytes()), 30, 20), (None, 3, 3), (bytearray(b"x"), 3, 3)], "p binary, w int, h int")
     x, y, *none = [r[0] for r in d.select(scorer.pixel_hashes("p", "w", "h")).collect()]
     assert (x.dhash, x.phash, x.mirror_dhash, x.mirror_phash) == (y.mirror_dhash, y.mirror_phash, y.dhash, y.phash) and x.pixel_sha != y.pixel_sha and none == [None, None]
+
+
+def test_stages_and_kept_tables(spark, tmp_path):
+    from gleanwork.plans import pipeline
+
+    config = {"steps": {"a": {"train": ["x", "y"], "eval": "z"}, "b": {"calibration": "z"}, "c": {}}}
+    assert rows(pipeline.stage_files(spark, config)) == [("x", "train", "a"), ("y", "train", "a"), ("z", "calibration", "b"), ("z", "eval", "a")]
+    made = []
+
+    def make():
+        made.append(1)
+        return spark.range(len(made))
+
+    def get(text):
+        (tmp_path / "held.txt").write_text(text)
+        return pipeline.kept_table(spark, f"{tmp_path}/kept", files.file_hashes(spark, f"{tmp_path}/held.txt"), make).count()
+
+    assert [get("one"), get("one"), get("two"), get("one")] == [1, 1, 2, 1] and len(made) == 2
