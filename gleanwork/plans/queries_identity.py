@@ -167,7 +167,7 @@ def box_pairs(spark, folder):
 
 
 @query("box_grids", f"""with b as ({_BOX}), c as (select l_orderkey, l_linenumber, l_partkey, l_suppkey, list_transform(range(0, 16), lambda i: greatest(least((i % 4) * 140.0 + 140, x + w) - greatest((i % 4) * 140.0, x), 0) * greatest(least(floor(i / 4) * 100.0 + 100, y + h) - greatest(floor(i / 4) * 100.0, y), 0)) as g from b)
-select l_orderkey, l_linenumber, l_partkey, l_suppkey, list_transform(g, lambda v: round(coalesce(v / nullif(list_sum(g), 0), 1 / 16.0) * 0.9 + 0.1 / 16, 9)) as grid from c""")
+select l_orderkey, l_linenumber, l_partkey, l_suppkey, list_transform(g, lambda v: round(coalesce(v / nullif(list_sum(g), 0), 1 / 16.0) * 0.9 + 0.1 / 16, 12)) as grid from c""")
 def box_grids(spark, folder):
     g = G.box_grid(F.col("box"), F.lit(560.0), F.lit(400.0), 4, 0.1)
-    return boxes(spark, folder).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.transform(g, lambda x: F.round(x, 9)).alias("grid"))
+    return boxes(spark, folder).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.transform(g, lambda x: F.round(x, 12)).alias("grid"))
