@@ -74,14 +74,12 @@ def _width(c: Column, kind: T.DataType) -> Column:
 
 
 def is_small(df: DataFrame, size: int = BROADCAST_BYTES) -> bool:
-    """Whether ``df`` is measured, row by row, to hold at most about ``size`` bytes.
+    """Whether ``df`` is measured, over all its rows, to hold at most about ``size`` bytes.
 
-    Meant for materialised frames (see :func:`cut`): a job runs, which stops at as many rows as could fit.
+    Meant for materialised frames (see :func:`cut`): a job runs that adds up widths where the rows are.
     """
-    most = size // 16
-    rows = df.select(sum((_width(F.col(f"`{f.name}`"), f.dataType) for f in df.schema), F.lit(8)).cast("bigint").alias("w")).limit(most + 1)
-    got = rows.agg(F.count("*").alias("n"), F.sum("w").alias("w")).first()
-    return got.n <= most and (got.w or 0) <= size
+    width = sum((_width(F.col(f"`{f.name}`"), f.dataType) for f in df.schema), F.lit(8))
+    return (df.agg(F.sum(width.cast("bigint")).alias("w")).first().w or 0) <= size
 
 
 def small_side(df: DataFrame, size: int = BROADCAST_BYTES) -> DataFrame:
