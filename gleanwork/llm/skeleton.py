@@ -42,6 +42,10 @@ _BLANK = {0x2800, 0x0085, 0x2028, 0x2029}
 _APART = "\u0131"
 
 
+#: The table once it was read; it is the same for the whole program.
+_PUBLIC: dict[str, str] = {}
+
+
 def prototypes(spark: SparkSession) -> dict[str, str]:
     """Character -> prototype by the public confusables data of Unicode, less what a reader tells apart.
 
@@ -51,6 +55,8 @@ def prototypes(spark: SparkSession) -> dict[str, str]:
     (``m`` as ``rn``), compatibility forms (which are decomposed before), punctuation, and letters of one
     case whose prototype has the other.
     """
+    if _PUBLIC:
+        return dict(_PUBLIC)
     kind = unicodedata.category
     all_of = [c for c in map(chr, range(0x21, 0x110000)) if kind(c)[0] in "LNS"]
     found = spark.sparkContext._jvm.com.ibm.icu.text.SpoofChecker.Builder().build().getSkeleton("\n".join(all_of)).split("\n")
@@ -70,7 +76,8 @@ def prototypes(spark: SparkSession) -> dict[str, str]:
         pick = next((x for x in cased if kind(x) == kind(c)), cased[0] if cased else None)
         if pick is not None and pick != c:
             out[c] = pick + p[len(base) :]
-    return out | _PROTOTYPE
+    _PUBLIC.update(out | _PROTOTYPE)
+    return dict(_PUBLIC)
 
 
 class _Table(dict):
